@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -219,8 +220,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, min_s
     out of the text; a document with more than max_coverage of its words hit goes altogether.
     Other documents and columns are unchanged; chars_col, if there is such a column, follows the text.
     """
-    import pandas as pd
-
     hits = benchmark_hits(docs, benchmark, window, id_col, text_col, **options).where(F.size("spans") > 0)
     hits = cut(hits.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("n_words").alias("__n"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__h"]), "hits")
 

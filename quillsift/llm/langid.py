@@ -20,6 +20,7 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,8 +153,6 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
 
 def keep_identified(docs: DataFrame, profiles: Profiles, accepted: list[str] | None = None, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
     """The rows of docs whose language is known (and accepted, and scored min_score or more)."""
-    import pandas as pd
-
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     @F.pandas_udf("boolean")

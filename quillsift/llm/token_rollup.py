@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +35,6 @@ EXPRESSIONS: dict[str, Callable[[Column], Column]] = {
 
 def byte_bpe(path: str, pattern: str) -> Callable[[Column], Column]:
     """Counts of a byte-level BPE whose ranks (base64 token, rank) are in the file at path; every worker reads them once."""
-    import pandas as pd
-
     held: dict = {}
 
     @F.pandas_udf("long")
