@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,21 +12,29 @@ from quillsift.sources.model import Association, Bridge, Model, Scope, nulls_as_
 
 
 def driver_models(spark: SparkSession, sf_dir: str) -> dict[str, Model]:
+    @cache
+    def read(name: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
     def load(name: str) -> Callable[[], DataFrame]:
-        return lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return lambda: read(name)
 
+    @cache
     def parts() -> DataFrame:
         return load("part")().withColumn("tags", F.split("p_type", " ")).withColumn("sizes", F.array(F.col("p_size"), F.col("p_size") + 1))
 
+    @cache
     def orders() -> DataFrame:
         day = F.to_date("o_orderdate")
         df = load("orders")().withColumn("o_day", day)
         df = df.withColumn("period", F.struct(day.alias("lower"), F.date_add(day, 30).alias("upper"), F.lit(True).alias("lower_inc"), F.lit(False).alias("upper_inc")))
         return df.withColumn("clerk_note", F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("rate_"), (F.col("o_orderkey") % 100).cast("string"), F.lit("%"))))
 
+    @cache
     def labels() -> DataFrame:
         return load("labels")().withColumn("is_toxic", F.col("toxic") == 1).withColumn("is_good", F.when(F.col("doc_id") % 7 != 0, F.col("quality") == 1))
 
+    @cache
     def events() -> DataFrame:
         host = F.concat_ws(".", F.lit("10"), (F.col("user_id") % 4).cast("string"), (F.col("event_id") % 8).cast("string"), F.lit("0"))
         return load("events")().withColumn("net", F.concat(host, F.lit("/"), (F.lit(16) + 8 * (F.col("event_id") % 2)).cast("string")))
