@@ -10,11 +10,12 @@ tokens, so one rare token or two frequent ones of a bucket are left, and the oth
 holds them too. Buckets (about one per eight tokens of the set) keep the number of
 combinations in proportion to the prefix; sets near a power of two emit for both bucketings.
 
-Candidates that share a signature are verified on whole sets with integer arithmetic. Equal
-sets are one class from the start, so copies cost one signature set. Within a signature's
-group only star and chain pairs are verified first; pairs of classes that components already
-join are never made, and whatever is still apart is then verified pair by pair, so no link
-between components is lost.
+Candidates are verified on whole sets with integer arithmetic; before that, pairs whose prefixes
+have too few signatures in common for the threshold are dropped. Equal sets are one class from
+the start, so copies cost one signature set. Within a signature's group only star and chain
+pairs are verified first; pairs of classes that components already join are never made, and
+whatever pairs are left between components are then verified one by one, so no link between
+components is lost.
 
 Defined results: a set without words is linked with nothing; repeated rows share one class;
 a row without id gets its set size and no component; an empty table gives an empty table.
@@ -29,16 +30,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import U, arrow_rows, cut, mixed, same, shingle_set, signed, text_bytes
+from quillsift.llm.common import U, arrow_rows, cut, discard, mixed, same, shingle_set, signed, text_bytes
 from quillsift.llm.components import connected_components
 
 #: Most entries of the frequent class that is broadcast: a token is frequent from
 #: max(MIN_COUNT, all shingles / MAX_FREQUENT) sets on, so no corpus can have more of them.
-MAX_FREQUENT, MIN_COUNT = 1 << 19, 48
+MAX_FREQUENT, MIN_COUNT = 1 << 19, 12
 #: Tokens that one task counts at a time.
 COUNTED = 4_000_000
 #: Parts that a frequent signature's group is dealt to.
 SALTS = 32
+#: Class ids that may be broadcast to pick rows of a larger table (8 bytes each); beyond that both sides are shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 def _local_counts(docs: DataFrame, k: int) -> DataFrame:
@@ -84,17 +87,17 @@ def buckets(n: int) -> int:
     return max(1, (1 << (n.bit_length() - 1)) >> 3)
 
 
-def signatures(u: np.ndarray, fh: np.ndarray, fc: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Signatures of the sorted set u; single tokens have the lowest bit 0, combinations 1."""
+def signatures(u: np.ndarray, fh: np.ndarray, fc: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """Signatures of the sorted set u, single tokens with lowest bit 0, combinations 1; and the tokens beyond the prefix, or -1 less all frequent tokens if some are in it."""
     n = len(u)
     need = n - -(-num * n // den) + 1
     if n < 2:
-        return u & ~U(1)
+        return u & ~U(1), -1
     at = np.minimum(np.searchsorted(fh, u), max(len(fh) - 1, 0))
     often = fh[at] == u if len(fh) else np.zeros(n, bool)
     rare = u[~often]
     if len(rare) >= need:
-        return np.unique(mixed(rare[:need]) & ~U(1))
+        return np.unique(mixed(rare[:need]) & ~U(1)), n - need
     tokens, count = u[often], fc[at[often]]
     tokens = tokens[np.lexsort((tokens, count))]
     out, sizes = [mixed(rare) & ~U(1)], {buckets(n), buckets(max(1, -(-num * n // den)))}
@@ -114,7 +117,7 @@ def signatures(u: np.ndarray, fh: np.ndarray, fc: np.ndarray, num: int, den: int
                 break
             x, y = tok[:-step][near], tok[step:][near]
             out.append(mixed(mixed(np.minimum(x, y)) + np.maximum(x, y)) | U(1))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), -1 - len(tokens)
 
 
 def set_class(u: np.ndarray) -> int | None:
@@ -124,7 +127,7 @@ def set_class(u: np.ndarray) -> int | None:
 
 
 def _signed_docs(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(id, n, f, sigs): set size, class of equal sets (null without words), signatures."""
+    """(id, n, f, beyond, sigs): set size, class of equal sets (null without words), tokens beyond the prefix, signatures."""
     fh, fc = _frequent(docs, k)
     shared = docs.sparkSession.sparkContext.broadcast((fh, fc))
 
@@ -132,9 +135,10 @@ def _signed_docs(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         fh, fc = shared.value
         for doc, text in zip(*cols, strict=True):
             u = shingle_set(text, k)
-            yield [doc], [len(u)], [set_class(u)], [signed(signatures(u, fh, fc, num, den)) if len(u) else None]
+            sigs, beyond = signatures(u, fh, fc, num, den) if len(u) else (None, -1)
+            yield [doc], [len(u)], [set_class(u)], [beyond], [signed(sigs) if len(u) else None]
 
-    return arrow_rows(docs, "id long, n long, f long, sigs array<long>", make, flush=2_000)
+    return arrow_rows(docs, "id long, n long, f long, beyond long, sigs array<long>", make, flush=2_000)
 
 
 def _close(num: int, den: int):
@@ -143,22 +147,55 @@ def _close(num: int, den: int):
     return F.greatest(a, b) * num <= F.least(a, b) * den
 
 
-def _pairs(df: DataFrame) -> DataFrame:
-    return df.select(F.least("f", "f2").alias("a"), F.greatest("f", "f2").alias("b")).distinct()
+def _counted(df: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, common, bound): rows (sig, n, f, beyond, n2, f2, beyond2) by pair; linked sets have at least bound single tokens in common here.
+
+    All common tokens up to the end of the prefix that ends first show as signatures if they are
+    rare. Beyond it the overlap cannot grow by more than that set has left; and where both prefixes
+    reach the frequent class, so that all rare tokens are in them, not by more than the frequent
+    tokens of either set.
+    """
+    b, b2 = F.col("beyond"), F.col("beyond2")
+    rest = F.when((b < 0) & (b2 < 0), -1 - F.greatest(b, b2)).otherwise(F.greatest(b, b2))
+    bound = F.ceil((F.col("n") + F.col("n2")) * num / (num + den)) - rest
+    df = df.where(_close(num, den)).select(F.least("f", "f2").alias("a"), F.greatest("f", "f2").alias("b"), (1 - F.expr("sig & 1")).alias("single"), bound.alias("bound"))
+    return df.groupBy("a", "b").agg(F.sum("single").alias("common"), F.first("bound").alias("bound"))
+
+
+_SIDE = ["n", "f", "beyond"]
+
+
+def _second(*more: str) -> list:
+    return [F.col(c).alias(c + "2") for c in (*_SIDE, *more)]
 
 
 def _star(rows: DataFrame, num: int, den: int, seed: int) -> DataFrame:
-    """Pairs of each group's members with its pivot, and of neighbouring pivots: rows (sig, n, f, comp)."""
+    """Pairs of each group's members with its pivot (at first the one with the fewest rare tokens, then any of 16), and of neighbouring pivots, that meet in half of what they must have in common.
+
+    This only finds components early; rows: (sig, n, f, beyond, comp).
+    """
     rows = rows.withColumn("salt", F.when(F.expr("sig & 1 = 1"), F.pmod("f", F.lit(SALTS))).otherwise(0))
     rows = rows.withColumn("cls", F.floor(F.log("n") / math.log(den / num)))
-    rows = rows.withColumn("p", F.struct(F.xxhash64("f", F.expr("shiftright(sig, 1) & 1"), F.lit(seed)).alias("r"), "f", "n", "comp"))
+    rare = F.when(F.col("beyond") < 0, F.col("n") + F.col("beyond") + 1).otherwise(F.col("n"))
+    rank = F.struct(F.xxhash64("f", F.expr("shiftright(sig, 1) & 15"), F.lit(seed)) if seed else rare, F.col("f").alias("by"))
+    rows = rows.withColumn("p", F.struct(rank.alias("r"), *_SIDE, "comp"))
     part = rows.withColumn("m", F.min("p").over(Window.partitionBy("sig", "cls", "salt")))
-    inner = part.where("comp <> m.comp").select("f", "n", F.col("m.f").alias("f2"), F.col("m.n").alias("n2"))
-    pivots = part.where("f = m.f").select("sig", "cls", "salt", "f", "n", "comp")
+    inner = part.where("comp <> m.comp").select("sig", *_SIDE, *[F.col("m." + c).alias(c + "2") for c in _SIDE])
     before = Window.partitionBy("sig").orderBy("cls", "salt")
-    chain = pivots.select("f", "n", "comp", F.lag("f").over(before).alias("f2"), F.lag("n").over(before).alias("n2"), F.lag("comp").over(before).alias("comp2"))
-    chain = chain.where("comp <> comp2").select("f", "n", "f2", "n2")
-    return _pairs(inner.unionByName(chain).where(_close(num, den)))
+    chain = part.where("f = m.f").withColumn("q", F.lag("p").over(before)).where("comp <> q.comp")
+    chain = chain.select("sig", *_SIDE, *[F.col("q." + c).alias(c + "2") for c in _SIDE])
+    return _counted(inner.unionByName(chain), num, den).where("2 * common >= bound").select("a", "b")
+
+
+def _all_pairs_left(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Every pair of classes that share a signature, are in two components and may be linked."""
+    pairs = rows.join(rows.select("sig", *_second("comp")), "sig").where("f < f2 and comp <> comp2")
+    return _counted(pairs, num, den).where("common >= bound").select("a", "b")
+
+
+def _picked(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of df whose key is in ids, without a shuffle of df where ids are few."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -169,11 +206,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", (both * den >= (F.size("x") + F.size("y") - both) * num).alias("ok"))
 
 
-def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
-    rows = rows.select("sig", "n", "f")
-    if comps is None:
-        return rows.withColumn("comp", F.col("f"))
-    return rows.join(comps, rows.f == comps.node, "left").select("sig", "n", "f", F.coalesce("component", "f").alias("comp"))
+def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    rows = rows.select("sig", *_SIDE)
+    return rows.join(comps, rows.f == comps.node, "left").select("sig", *_SIDE, F.coalesce("component", "f").alias("comp"))
 
 
 def _unsettled(rows: DataFrame) -> DataFrame:
@@ -188,12 +223,11 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     signed_docs = cut(_signed_docs(docs, k, num, den), "signed")
     member = signed_docs.select("id", "n", "f")
     usable = signed_docs.where("id is not null and f is not null")
-    classes = usable.groupBy("f").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("sigs").alias("sigs"))
-    rows = classes.select(F.explode("sigs").alias("sig"), "n", "f")
-    shared = rows.withColumn("many", (F.min("f").over(Window.partitionBy("sig")) != F.max("f").over(Window.partitionBy("sig")))).where("many").drop("many")
-    shared = cut(shared, "shared")
-    reps = usable.groupBy("f").agg(F.min("id").alias("rep"))
-    wanted = shared.select("f").distinct().join(reps, "f").select("f", F.col("rep").alias("id"))
+    classes = usable.groupBy("f").agg(F.first("n").alias("n"), F.first("beyond").alias("beyond"), F.first("sigs").alias("sigs"))
+    rows = classes.select(F.explode("sigs").alias("sig"), *_SIDE)
+    group = Window.partitionBy("sig")
+    shared = cut(rows.withColumn("many", F.min("f").over(group) != F.max("f").over(group)).where("many").drop("many"), "shared")
+    reps = cut(usable.groupBy("f").agg(F.min("id").alias("rep")), "reps")
 
     def make(cols):
         for f, text in zip(*cols, strict=True):
@@ -201,23 +235,25 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
             if set_class(u) == f:
                 yield [f], [signed(u)]
 
-    texts = docs.join(wanted, "id").select("f", "text")
-    sets = cut(arrow_rows(texts, "f long, s array<long>", make, flush=2_000), "sets")
-    edges, comps, tried = None, None, None
+    edges, tried = None, None
+    comps = docs.sparkSession.createDataFrame([], "node long, component long")
     for seed in range(stars + 1):
         rows = _unsettled(_labelled(shared, comps))
-        if seed < stars:
-            pairs = _star(rows, num, den, seed)
-        else:
-            x, y = rows, rows.select("sig", F.col("n").alias("n2"), F.col("f").alias("f2"), F.col("comp").alias("comp2"))
-            pairs = _pairs(x.join(y, "sig").where(F.expr("f < f2 and comp <> comp2")).where(_close(num, den)))
+        pairs = _star(rows, num, den, seed) if seed < stars else _all_pairs_left(rows, num, den)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = cut(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("f")).distinct()
+        wanted = cut(wanted.join(reps, "f").select("f", F.col("rep").alias("id")), "wanted")
+        sets = cut(arrow_rows(_picked(docs, "id", wanted, "inner").select("f", "text"), "f long, s array<long>", make, flush=2_000), "sets")
         seen = cut(_verified(pairs, sets, num, den), "seen")
-        tried = seen.select("a", "b") if tried is None else tried.union(seen.select("a", "b"))
+        discard(sets)
+        tried = pairs if tried is None else tried.union(pairs)
         new = seen.where("ok").select("a", "b")
         edges = new if edges is None else edges.union(new)
-        if not new.isEmpty() or comps is None:
+        if not new.isEmpty():
             comps = cut(connected_components(edges), "comps")
     home = reps.join(comps, reps.f == comps.node, "left").select("f", "rep", F.coalesce("component", "f").alias("comp"))
     least = home.groupBy("comp").agg(F.min("rep").alias("component_id"))
