@@ -136,14 +136,22 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(U, copy=False).view(np.int64)
 
 
-def replaced(docs: DataFrame, text_col: str, chars_col: str | None) -> list:
-    """The columns of docs, with __new for the text and, where the text changed, its length for chars_col."""
-    cols = []
+def fresh(df: DataFrame) -> str:
+    """A prefix that no column of df has."""
+    p = "__"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
+def replaced(docs: DataFrame, text_col: str, chars_col: str | None, p: str) -> list:
+    """The columns of docs, with p's new for the text and, where the text changed, its length for chars_col."""
+    new, cols = F.col(p + "new"), []
     for c in docs.columns:
         if c == text_col:
-            cols.append(F.col("__new").alias(c))
+            cols.append(new.alias(c))
         elif c == chars_col:
-            cols.append(F.when(F.col("__new").eqNullSafe(F.col(text_col)), F.col(c)).otherwise(F.length("__new").cast(docs.schema[c].dataType)).alias(c))
+            cols.append(F.when(new.eqNullSafe(F.col(text_col)), F.col(c)).otherwise(F.length(new).cast(docs.schema[c].dataType)).alias(c))
         else:
-            cols.append(F.col(c))
+            cols.append(F.col(f"`{c}`"))
     return cols

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import arrow_rows, cut, replaced, same, text_bytes
+from quillsift.llm.common import arrow_rows, cut, fresh, replaced, same, text_bytes
 
 #: Benchmark words in one automaton.
 MAX_WORDS = 200_000
@@ -220,8 +220,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, min_s
     out of the text; a document with more than max_coverage of its words hit goes altogether.
     Other documents and columns are unchanged; chars_col, if there is such a column, follows the text.
     """
+    p = fresh(docs)
     hits = benchmark_hits(docs, benchmark, window, id_col, text_col, **options).where(F.size("spans") > 0)
-    hits = cut(hits.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("n_words").alias("__n"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__h"]), "hits")
+    hits = cut(hits.select(F.col("id").alias(p + "id"), F.col("h").alias(p + "h"), F.col("n_words").alias(p + "n"), F.col("spans").alias(p + "spans")).dropDuplicates([p + "id", p + "h"]), "hits")
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -233,10 +234,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, min_s
                 out.append(without_words(text.encode(), [(x["a"], x["b"]) for x in s if x["b"] - x["a"] >= min_span or x["b"] - x["a"] < window]).decode())
         return pd.Series(out, dtype=object)
 
-    rows = docs.withColumn("__h0", F.xxhash64(F.col(text_col).cast("string")))
+    rows = docs.withColumn(p + "h0", F.xxhash64(F.col(text_col).cast("string")))
 
-    joined = rows.join(hits, same(rows[id_col].cast("long"), F.col("__id")) & (F.col("__h0") == F.col("__h")), "left")
-    n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda s, x: s + (x["b"] - x["a"]))
-    kept = joined.where(F.col("__spans").isNull() | (n_hit <= F.col("__n") * max_coverage))
-    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(clean(F.when(F.col("__spans").isNotNull(), F.col(text_col)), "__spans"))
-    return kept.withColumn("__new", text).select(*replaced(docs, text_col, chars_col))
+    joined = rows.join(hits, same(rows[id_col].cast("long"), F.col(p + "id")) & (F.col(p + "h0") == F.col(p + "h")), "left")
+    n_hit = F.aggregate(p + "spans", F.lit(0).cast("long"), lambda s, x: s + (x["b"] - x["a"]))
+    kept = joined.where(F.col(p + "spans").isNull() | (n_hit <= F.col(p + "n") * max_coverage))
+    text = F.when(F.col(p + "spans").isNull(), F.col(text_col)).otherwise(clean(F.when(F.col(p + "spans").isNotNull(), F.col(text_col)), p + "spans"))
+    return kept.withColumn(p + "new", text).select(*replaced(docs, text_col, chars_col, p))

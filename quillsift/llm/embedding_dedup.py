@@ -168,4 +168,4 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
 def dedup_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", emb_col: str = "embedding") -> DataFrame:
     """The rows of vectors without those that a vector with a smaller id stands for."""
     gone = embedding_links(vectors, threshold, id_col, emb_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return vectors.join(gone, same(vectors[id_col].cast("long"), F.col("__gone")), "left_anti")
+    return vectors.join(gone, same(vectors[id_col].cast("long"), gone["__gone"]), "left_anti")

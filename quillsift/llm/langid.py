@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import U, arrow_rows, cut
+from quillsift.llm.common import U, arrow_rows, cut, fresh
 
 PROFILE, TRAIN_DOCS, MAX_LANGS = 400, 4_000, 5_000
 UNKNOWN = "und"
@@ -83,6 +83,7 @@ class Profiles:
 
 def learn(docs: DataFrame, train: Column, top: int = PROFILE, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
     """Profiles from the rows of docs where train holds, with a text and a language."""
+    p = fresh(docs)
     spark = docs.sparkSession
     rows = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     langs = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().limit(MAX_LANGS + 1).collect()
@@ -90,9 +91,9 @@ def learn(docs: DataFrame, train: Column, top: int = PROFILE, train_docs: int =
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not langs:
         return Profiles({}, top)
-    share = spark.createDataFrame([(r["lang"], min(1.0, train_docs / r["count"])) for r in langs], "__lang string, __share double")
+    share = spark.createDataFrame([(r["lang"], min(1.0, train_docs / r["count"])) for r in langs], f"{p}lang string, {p}share double")
     draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.join(F.broadcast(share), rows[lang_col].cast("string") == F.col("__lang")).where(draw < F.col("__share"))
+    chosen = rows.join(F.broadcast(share), rows[lang_col].cast("string") == F.col(p + "lang")).where(draw < F.col(p + "share"))
 
     def run(batches):
         import pyarrow as pa
@@ -122,7 +123,7 @@ def learn(docs: DataFrame, train: Column, top: int = PROFILE, train_docs: int =
                     held, size = {}, 0
         yield from out()
 
-    counts = chosen.select(F.col("__lang"), F.col(text_col).cast("string")).mapInArrow(run, "lang string, code long, count long")
+    counts = chosen.select(F.col(p + "lang"), F.col(text_col).cast("string")).mapInArrow(run, "lang string, code long, count long")
     counts = cut(counts.groupBy("lang", "code").agg(F.sum("count").alias("count")), "ngrams")
     from pyspark.sql import Window
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import arrow_rows, cut, replaced, same, text_bytes
+from quillsift.llm.common import arrow_rows, cut, fresh, replaced, same, text_bytes
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -56,6 +56,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents stay even if all their lines go (with an empty text).
     """
+    p = fresh(docs)
 
     @F.pandas_udf("text string, n_removed long")
     def clean(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
@@ -71,16 +72,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append(("\n".join(x for x, k in zip(lines, keep, strict=True) if k), len(lines) - sum(keep)))
         return pd.DataFrame(out, columns=["text", "n_removed"])
 
-    gone = repeated_lines(docs, id_col, text_col, size).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("at").alias("__at"))
-    rows = docs.withColumn("__h0", F.xxhash64(F.col(text_col).cast("string")))
-    joined = rows.join(gone, same(rows[id_col].cast("long"), F.col("__id")) & (F.col("__h0") == F.col("__h")), "left")
-    hit = F.col("__at").isNotNull()
-    joined = joined.withColumn("__done", clean(F.when(hit, F.col(text_col)), "__at"))
-    joined = joined.withColumn("__new", F.when(hit, F.col("__done.text")).otherwise(F.col(text_col)))
+    gone = repeated_lines(docs, id_col, text_col, size).select(F.col("id").alias(p + "id"), F.col("h").alias(p + "h"), F.col("at").alias(p + "at"))
+    rows = docs.withColumn(p + "h0", F.xxhash64(F.col(text_col).cast("string")))
+    joined = rows.join(gone, same(rows[id_col].cast("long"), F.col(p + "id")) & (F.col(p + "h0") == F.col(p + "h")), "left")
+    hit = F.col(p + "at").isNotNull()
+    joined = joined.withColumn(p + "done", clean(F.when(hit, F.col(text_col)), p + "at"))
+    joined = joined.withColumn(p + "new", F.when(hit, F.col(p + "done.text")).otherwise(F.col(text_col)))
     n_lines = F.when(F.length(text_col) > 0, F.length(text_col) - F.length(F.translate(F.col(text_col), "\n", "")) + 1).otherwise(0)
-    joined = joined.withColumn("__n_lines", F.coalesce(n_lines, F.lit(0)).cast("long"))
+    joined = joined.withColumn(p + "n_lines", F.coalesce(n_lines, F.lit(0)).cast("long"))
     if not counts:
-        return joined.select(*replaced(docs, text_col, chars_col))
+        return joined.select(*replaced(docs, text_col, chars_col, p))
     rest = docs.drop("n_lines", "n_removed")
-    added = F.col("__n_lines").alias("n_lines"), F.coalesce("__done.n_removed", F.lit(0)).cast("long").alias("n_removed")
-    return joined.select(*replaced(rest, text_col, chars_col), *added)
+    added = F.col(p + "n_lines").alias("n_lines"), F.coalesce(p + "done.n_removed", F.lit(0)).cast("long").alias("n_removed")
+    return joined.select(*replaced(rest, text_col, chars_col, p), *added)

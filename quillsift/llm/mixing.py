@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import cut, same
+from quillsift.llm.common import cut, fresh, same
 
 #: Blocks of a source and sub-blocks of a block.
 BLOCKS = 256
@@ -139,11 +139,12 @@ def mix_sources(docs: DataFrame, entropy_share: float | None = 0.95, max_repeats
 
     Ordered by (mix_pass, mix_block, mix_rank), the rows are the training order; nothing is sorted here.
     """
+    p = fresh(docs)
     plan = mixing_schedule(docs, entropy_share, max_repeats, budget, seed, id_col, text_col, source_col)
-    plan = plan.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("s").alias("__s"), F.col("weight").alias("__w"), F.col("passes").alias("__p")).where("__p > 0")
-    rows = docs.withColumn("__h0", F.xxhash64(F.col(text_col).cast("string")))
-    on = same(rows[id_col].cast("long"), F.col("__id")) & (F.col("__h0") == F.col("__h")) & same(rows[source_col].cast("string"), F.col("__s"))
+    plan = plan.select(F.col("id").alias(p + "id"), F.col("h").alias(p + "h"), F.col("s").alias(p + "s"), F.col("weight").alias(p + "w"), F.col("passes").alias(p + "p")).where(F.col(p + "p") > 0)
+    rows = docs.withColumn(p + "h0", F.xxhash64(F.col(text_col).cast("string")))
+    on = same(rows[id_col].cast("long"), F.col(p + "id")) & (F.col(p + "h0") == F.col(p + "h")) & same(rows[source_col].cast("string"), F.col(p + "s"))
     rest = [c for c in docs.columns if c not in ("mix_weight", "mix_pass", "mix_block", "mix_rank")]
-    out = rows.join(plan, on).withColumn("__pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__p") - 1)))
-    block = F.xxhash64(F.lit(seed), "__pass", "__s", F.pmod(F.xxhash64(F.lit(seed + 1), "__id", "__h"), F.lit(BLOCKS)))
-    return out.select(*rest, F.col("__w").alias("mix_weight"), F.col("__pass").alias("mix_pass"), block.alias("mix_block"), F.xxhash64(F.lit(seed + 3), "__pass", "__id", "__h").alias("mix_rank"))
+    out = rows.join(plan, on).withColumn(p + "pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col(p + "p") - 1)))
+    block = F.xxhash64(F.lit(seed), p + "pass", p + "s", F.pmod(F.xxhash64(F.lit(seed + 1), p + "id", p + "h"), F.lit(BLOCKS)))
+    return out.select(*rest, F.col(p + "w").alias("mix_weight"), F.col(p + "pass").alias("mix_pass"), block.alias("mix_block"), F.xxhash64(F.lit(seed + 3), p + "pass", p + "id", p + "h").alias("mix_rank"))

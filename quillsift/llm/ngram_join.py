@@ -265,4 +265,4 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
 def dedup_ngrams(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those that a document with a smaller id stands for; rows without id stay."""
     gone = jaccard_groups(docs, k, num, den, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, same(docs[id_col].cast("long"), F.col("__gone")), "left_anti")
+    return docs.join(gone, same(docs[id_col].cast("long"), gone["__gone"]), "left_anti")

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import U, arrow_rows, cut, mixed, same, signed, text_bytes, word_hashes
+from quillsift.llm.common import U, arrow_rows, cut, fresh, mixed, same, signed, text_bytes, word_hashes
 
 #: Words of an anchor.
 ANCHOR = 8
@@ -141,6 +141,7 @@ def _covered(n: int, ranges, window: int) -> np.ndarray:
 
 def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with kept_text (the words left, joined by one space; null for a null text), n_words and n_removed added."""
+    p = fresh(docs)
 
     @F.pandas_udf("kept string, n_words long, n_removed long")
     def clean(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
@@ -155,10 +156,10 @@ def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
             out.append((None if text is None else b" ".join(words).decode(), n, gone))
         return pd.DataFrame(out, columns=["kept", "n_words", "n_removed"])
 
-    found = duplicate_ranges(docs, window, id_col, text_col).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("ranges").alias("__ranges"))
-    rows = docs.withColumn("__h0", F.xxhash64(F.col(text_col).cast("string")))
-    joined = rows.join(found, same(rows[id_col].cast("long"), F.col("__id")) & (F.col("__h0") == F.col("__h")), "left")
-    joined = joined.withColumn("__done", clean(F.col(text_col).cast("string"), "__ranges"))
+    found = duplicate_ranges(docs, window, id_col, text_col).select(F.col("id").alias(p + "id"), F.col("h").alias(p + "h"), F.col("ranges").alias(p + "ranges"))
+    rows = docs.withColumn(p + "h0", F.xxhash64(F.col(text_col).cast("string")))
+    joined = rows.join(found, same(rows[id_col].cast("long"), F.col(p + "id")) & (F.col(p + "h0") == F.col(p + "h")), "left")
+    joined = joined.withColumn(p + "done", clean(F.col(text_col).cast("string"), p + "ranges"))
     rest = [c for c in docs.columns if c not in ("kept_text", "n_words", "n_removed")]
-    return joined.select(*rest, F.col("__done.kept").alias("kept_text"), F.col("__done.n_words").alias("n_words"), F.col("__done.n_removed").alias("n_removed"))
+    return joined.select(*rest, F.col(p + "done.kept").alias("kept_text"), F.col(p + "done.n_words").alias("n_words"), F.col(p + "done.n_removed").alias("n_removed"))
 

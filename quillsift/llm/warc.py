@@ -48,6 +48,8 @@ def chunks(payload: bytes, size: int = CHUNK) -> Iterator[tuple[int, bytes, str]
         hit = payload.find(mark, at, min(end + len(mark), len(payload)))
         if hit >= 0 and hit < end:  # neither a chunk nor a chunk with what closes its record may hold the mark
             end = hit + len(END) + 1
+        if payload.startswith(START, at):  # nor may its header's end make one with its beginning
+            end = at + 1
         part = bytes(view[at:end])
         running.update(part)
         yield k, part, running.copy().hexdigest()
