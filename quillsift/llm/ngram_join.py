@@ -15,7 +15,9 @@ have too few signatures in common for the threshold are dropped. Equal sets are
 the start, so copies cost one signature set. Within a signature's group only star and chain
 pairs are verified first; pairs of classes that components already join are never made, and
 whatever pairs are left between components are then verified one by one, so no link between
-components is lost.
+components is lost. Groups of a combination with more than FEW members are near copies of each
+other; there, sets are compared by their differences from one member, the hub (see `_prefixes`),
+so that only sets which changed in the same places meet.
 
 Defined results: a set without words is linked with nothing; repeated rows share one class;
 a row without id gets its set size and no component; an empty table gives an empty table.
@@ -40,6 +42,8 @@ MAX_FREQUENT, MIN_COUNT = 1 << 19, 12
 COUNTED = 4_000_000
 #: Parts that a frequent signature's group is dealt to.
 SALTS = 32
+#: Members of a combination's group up to which all its pairs are made; in larger ones, those that differ from a hub alike.
+FEW = 16
 #: Class ids that may be broadcast to pick rows of a larger table (8 bytes each); beyond that both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -193,9 +197,48 @@ def _all_pairs_left(rows: DataFrame, num: int, den: int) -> DataFrame:
     return _counted(pairs, num, den).where("common >= bound").select("a", "b")
 
 
+def _hubs(rows: DataFrame) -> DataFrame:
+    """(sig, hub): of combinations with more than FEW members, the member with the smallest hash, so that like groups have the same."""
+    by = F.struct(F.xxhash64("f").alias("r"), F.col("f").alias("hub"))
+    return rows.where("sig & 1 = 1").groupBy("sig").agg(F.count("*").alias("many"), F.min(by).alias("m")).where(F.col("many") > FEW).select("sig", "m.hub")
+
+
+def _prefixes(spokes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(hub, f, comp, linked, short, tokens): whether f links to its hub, and the first of the tokens in which the two differ.
+
+    Let Dx be the tokens in which x and the hub p differ and r = (den - num) / (den + num): x and y
+    link if |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy| <= r (|x| + |y|). Of a link between components at
+    least one end, x, is not linked to p, so |Dx| > r (|x| + |p|) and |Dx & Dy| >
+    (|Dy| + r (|p| - |y|)) / 2: the first `short` tokens of Dy have one of Dx. The same holds for x
+    if y is not linked to p either; if y is, |Dx & Dy| <= |Dy| still gives
+    |Dx & Dy| >= |Dx| - r (|x| + |y|) >= |Dx| - |x| (den - num) / num, and at least one token.
+    """
+    one, hub = sets.select("f", F.col("s").alias("x")), sets.select(F.col("f").alias("hub"), F.col("s").alias("y"))
+    both = spokes.join(one, "f").join(hub, "hub")
+    diff = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    both = both.select("hub", "f", "comp", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), diff.alias("d")).withColumn("k", F.size("d").cast("long"))
+    linked = F.col("k") * (num + den) <= (F.col("n") + F.col("m")) * (den - num)
+    short = F.col("k") - F.floor((F.col("k") * (num + den) + (F.col("m") - F.col("n")) * (den - num)) / (2 * (num + den)))
+    full = F.col("k") + 1 - F.greatest(F.lit(1), F.ceil((F.col("k") * num - F.col("n") * (den - num)) / num))
+    both = both.withColumns({"linked": linked, "short": short}).withColumn("full", F.when(F.col("linked"), F.col("short")).otherwise(F.greatest(full, "short")))
+    return both.select("hub", "f", "comp", "linked", "short", F.slice("d", F.lit(1), F.col("full").cast("int")).alias("tokens"))
+
+
+def _alike(spokes: DataFrame) -> DataFrame:
+    """(a, b): classes of two components that share a token of their prefixes from the same hub, one of them not linked to it."""
+    keys = spokes.select("hub", "f", "comp", "linked", "short", F.posexplode("tokens").alias("at", "token"))
+    brief = keys.where("at < short").select("hub", "token", *[F.col(c).alias(c + "2") for c in ("f", "comp", "linked")])
+    pairs = keys.where("not linked").join(brief, ["hub", "token"]).where("comp <> comp2 and (linked2 or (at < short and f < f2))")
+    return pairs.select(F.least("f", "f2").alias("a"), F.greatest("f", "f2").alias("b")).distinct()
+
+
 def _picked(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows of df whose key is in ids, without a shuffle of df where ids are few."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+    return df.join(_bounded(ids), key, how)
+
+
+def _bounded(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -235,24 +278,38 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
             if set_class(u) == f:
                 yield [f], [signed(u)]
 
-    edges, tried = None, None
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = cut(ids.distinct().join(reps, "f").select("f", F.col("rep").alias("id")), "wanted")
+        return cut(arrow_rows(_picked(docs, "id", wanted, "inner").select("f", "text"), "f long, s array<long>", make, flush=2_000), "sets")
+
+    none = docs.sparkSession.createDataFrame([], "a long, b long")
+    edges, tried, hubs = none, none, None
     comps = docs.sparkSession.createDataFrame([], "node long, component long")
-    for seed in range(stars + 1):
+    for seed in range(stars + 2):
         rows = _unsettled(_labelled(shared, comps))
-        pairs = _star(rows, num, den, seed) if seed < stars else _all_pairs_left(rows, num, den)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("f")).distinct()
-        wanted = cut(wanted.join(reps, "f").select("f", F.col("rep").alias("id")), "wanted")
-        sets = cut(arrow_rows(_picked(docs, "id", wanted, "inner").select("f", "text"), "f long, s array<long>", make, flush=2_000), "sets")
+        if seed == stars:
+            hubs = cut(_hubs(rows), "hubs")
+            hot = cut(rows.join(_bounded(hubs), "sig").where("f <> hub").select("hub", "f", "comp").distinct(), "hot")
+            if hot.isEmpty():
+                continue
+            sets = sets_of(hot.select(F.explode(F.array("hub", "f")).alias("f")))
+            spokes = cut(_prefixes(hot, sets, num, den), "spokes")
+            pairs = cut(_alike(spokes).join(tried, ["a", "b"], "left_anti"), "pairs")
+            near = spokes.where("linked").select(F.least("f", "hub").alias("a"), F.greatest("f", "hub").alias("b"))
+        else:
+            near = none
+            if seed > stars:
+                rows = rows.join(_bounded(hubs.select("sig")), "sig", "left_anti")
+            pairs = _star(rows, num, den, seed) if seed < stars else _all_pairs_left(rows, num, den)
+            pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            if pairs.isEmpty():
+                continue
+            sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("f")))
         seen = cut(_verified(pairs, sets, num, den), "seen")
         discard(sets)
-        tried = pairs if tried is None else tried.union(pairs)
-        new = seen.where("ok").select("a", "b")
-        edges = new if edges is None else edges.union(new)
+        tried = tried.union(pairs)
+        new = cut(seen.where("ok").select("a", "b").union(near).distinct(), "new")
+        edges = edges.union(new)
         if not new.isEmpty():
             comps = cut(connected_components(edges), "comps")
     home = reps.join(comps, reps.f == comps.node, "left").select("f", "rep", F.coalesce("component", "f").alias("comp"))

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from quillsift.llm import ngram_join
 from quillsift.llm.components import connected_components
 from quillsift.llm.decontaminate import SuffixAutomaton, contamination_report, decontaminate
 from quillsift.llm.line_dedup import dedup_lines
@@ -66,6 +67,28 @@ def test_jaccard_groups(spark, k, num):
     assert sorted((tuple(r) for r in got), key=repr) == brute_groups(rows, k, num, 100)
 
 
+@pytest.mark.parametrize(("k", "num", "seed"), [(3, 90, 5), (3, 80, 6), (5, 80, 7)])
+def test_near_copies_by_their_hubs(spark, monkeypatch, k, num, seed):
+    monkeypatch.setattr(ngram_join, "FEW", 2)
+    monkeypatch.setattr(ngram_join, "MIN_COUNT", 2)
+    spokes = []
+    alike = ngram_join._alike
+    monkeypatch.setattr(ngram_join, "_alike", lambda s: spokes.append(s.count()) or alike(s))
+    r = random.Random(seed)
+    base, rows = [f"w{r.randrange(400)}" for _ in range(150)], []
+    for i in range(160):
+        words = base.copy()
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5, 6, 7])):
+            at = r.randrange(len(words) - 3)
+            words[at : at + r.randint(0, 2)] = [f"w{r.randrange(400)}" for _ in range(r.randint(0, 2))]
+        rows.append((i, " ".join(words)))
+        if i % 10 == 0:
+            base = words
+    got = jaccard_groups(table(spark, rows).repartition(3), k, num, 100, stars=1).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_groups(rows, k, num, 100)
+    assert spokes and spokes[0] > 50
+
+
 def test_one_of_each_group_stays(spark):
     rows = [x for x in corpus() if x[0] != 305]
     docs = table(spark, rows)
