@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from quillsift.llm.common import U, arrow_rows, cut, discard, mixed, same, shingle_set, signed, text_bytes
 from quillsift.llm.components import connected_components
 
-#: Most entries of the frequent class that is broadcast: a token is frequent from
+#: Most entries of the frequent class that is broadcast (16 bytes each, 64 MB at most): a token is frequent from
 #: max(MIN_COUNT, all shingles / MAX_FREQUENT) sets on, so no corpus can have more of them.
-MAX_FREQUENT, MIN_COUNT = 1 << 19, 12
+MAX_FREQUENT, MIN_COUNT = 1 << 22, 12
 #: Tokens that one task counts at a time.
 COUNTED = 4_000_000
 #: Parts that a frequent signature's group is dealt to.
