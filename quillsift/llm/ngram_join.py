@@ -204,7 +204,7 @@ def _hubs(rows: DataFrame) -> DataFrame:
 
 
 def _prefixes(spokes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(hub, f, comp, linked, short, tokens): whether f links to its hub, and the first of the tokens in which the two differ.
+    """(hub, f, comp, n, d, linked, short, full): the tokens d in which f differs from its hub, whether they link, and how many of d to compare.
 
     Let Dx be the tokens in which x and the hub p differ and r = (den - num) / (den + num): x and y
     link if |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy| <= r (|x| + |y|). Of a link between components at
@@ -221,15 +221,25 @@ def _prefixes(spokes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     short = F.col("k") - F.floor((F.col("k") * (num + den) + (F.col("m") - F.col("n")) * (den - num)) / (2 * (num + den)))
     full = F.col("k") + 1 - F.greatest(F.lit(1), F.ceil((F.col("k") * num - F.col("n") * (den - num)) / num))
     both = both.withColumns({"linked": linked, "short": short}).withColumn("full", F.when(F.col("linked"), F.col("short")).otherwise(F.greatest(full, "short")))
-    return both.select("hub", "f", "comp", "linked", "short", F.slice("d", F.lit(1), F.col("full").cast("int")).alias("tokens"))
+    return both.select("hub", "f", "comp", "n", "d", "linked", "short", "full")
 
 
 def _alike(spokes: DataFrame) -> DataFrame:
-    """(a, b): classes of two components that share a token of their prefixes from the same hub, one of them not linked to it."""
-    keys = spokes.select("hub", "f", "comp", "linked", "short", F.posexplode("tokens").alias("at", "token"))
+    """(a, b, hub): classes of two components that share a token of their prefixes from the same hub, one of them not linked to it."""
+    tokens = F.slice("d", F.lit(1), F.col("full").cast("int"))
+    keys = spokes.select("hub", "f", "comp", "linked", "short", F.posexplode(tokens).alias("at", "token"))
     brief = keys.where("at < short").select("hub", "token", *[F.col(c).alias(c + "2") for c in ("f", "comp", "linked")])
     pairs = keys.where("not linked").join(brief, ["hub", "token"]).where("comp <> comp2 and (linked2 or (at < short and f < f2))")
-    return pairs.select(F.least("f", "f2").alias("a"), F.greatest("f", "f2").alias("b")).distinct()
+    return pairs.groupBy(F.least("f", "f2").alias("a"), F.greatest("f", "f2").alias("b")).agg(F.min("hub").alias("hub"))
+
+
+def _alike_verified(pairs: DataFrame, spokes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, ok): whether a and b link, from their differences to a hub alone (see `_prefixes`): whole sets are not moved again."""
+    left = spokes.select("hub", F.col("f").alias("a"), "n", F.col("d").alias("x"))
+    right = spokes.select("hub", F.col("f").alias("b"), F.col("n").alias("n2"), F.col("d").alias("y"))
+    apart = F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y"))
+    both = pairs.join(left, ["hub", "a"]).join(right, ["hub", "b"])
+    return both.select("a", "b", (apart * (num + den) <= (F.col("n") + F.col("n2")) * (den - num)).alias("ok"))
 
 
 def _picked(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -260,7 +270,7 @@ def _unsettled(rows: DataFrame) -> DataFrame:
     return rows.join(more, "sig", "left_semi")
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", stars: int = 3) -> DataFrame:
+def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", stars: int = 2) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (smallest id reachable by links of Jaccard num/den or more)."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
     signed_docs = cut(_signed_docs(docs, k, num, den), "signed")
@@ -282,36 +292,43 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
         wanted = cut(ids.distinct().join(reps, "f").select("f", F.col("rep").alias("id")), "wanted")
         return cut(arrow_rows(_picked(docs, "id", wanted, "inner").select("f", "text"), "f long, s array<long>", make, flush=2_000), "sets")
 
-    none = docs.sparkSession.createDataFrame([], "a long, b long")
-    edges, tried, hubs = none, none, None
+    edges = tried = docs.sparkSession.createDataFrame([], "a long, b long")
     comps = docs.sparkSession.createDataFrame([], "node long, component long")
-    for seed in range(stars + 2):
-        rows = _unsettled(_labelled(shared, comps))
-        if seed == stars:
-            hubs = cut(_hubs(rows), "hubs")
-            hot = cut(rows.join(_bounded(hubs), "sig").where("f <> hub").select("hub", "f", "comp").distinct(), "hot")
-            if hot.isEmpty():
-                continue
-            sets = sets_of(hot.select(F.explode(F.array("hub", "f")).alias("f")))
-            spokes = cut(_prefixes(hot, sets, num, den), "spokes")
-            pairs = cut(_alike(spokes).join(tried, ["a", "b"], "left_anti"), "pairs")
-            near = spokes.where("linked").select(F.least("f", "hub").alias("a"), F.greatest("f", "hub").alias("b"))
-        else:
-            near = none
-            if seed > stars:
-                rows = rows.join(_bounded(hubs.select("sig")), "sig", "left_anti")
-            pairs = _star(rows, num, den, seed) if seed < stars else _all_pairs_left(rows, num, den)
-            pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-            if pairs.isEmpty():
-                continue
-            sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("f")))
-        seen = cut(_verified(pairs, sets, num, den), "seen")
-        discard(sets)
-        tried = tried.union(pairs)
-        new = cut(seen.where("ok").select("a", "b").union(near).distinct(), "new")
+
+    def joined(new: DataFrame) -> DataFrame:
+        nonlocal edges
+        if new.isEmpty():
+            return comps
         edges = edges.union(new)
-        if not new.isEmpty():
-            comps = cut(connected_components(edges), "comps")
+        return cut(connected_components(edges), "comps")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        nonlocal tried
+        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.union(pairs)
+        if pairs.isEmpty():
+            return comps
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("f")))
+        new = cut(_verified(pairs, sets, num, den).where("ok").select("a", "b"), "new")
+        discard(sets)
+        return joined(new)
+
+    for seed in range(stars):
+        comps = compared(_star(_unsettled(_labelled(shared, comps)), num, den, seed))
+    rows = _unsettled(_labelled(shared, comps))
+    hubs = cut(_hubs(rows), "hubs")
+    hot = cut(rows.join(_bounded(hubs), "sig").where("f <> hub").select("hub", "f", "comp").distinct(), "hot")
+    if not hot.isEmpty():
+        sets = sets_of(hot.select(F.explode(F.array("hub", "f")).alias("f")))
+        spokes = cut(_prefixes(hot, sets, num, den), "spokes")
+        discard(sets)
+        comps = joined(spokes.where("linked").select(F.least("f", "hub").alias("a"), F.greatest("f", "hub").alias("b")).distinct())
+        spokes = spokes.drop("comp").join(comps, spokes.f == comps.node, "left").withColumn("comp", F.coalesce("component", "f")).drop("node", "component")
+        pairs = cut(_alike(spokes).join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.union(pairs.select("a", "b"))
+        comps = joined(cut(_alike_verified(pairs, spokes, num, den).where("ok").select("a", "b"), "new"))
+    rows = _unsettled(_labelled(shared, comps).join(_bounded(hubs.select("sig")), "sig", "left_anti"))
+    comps = compared(_all_pairs_left(rows, num, den))
     home = reps.join(comps, reps.f == comps.node, "left").select("f", "rep", F.coalesce("component", "f").alias("comp"))
     least = home.groupBy("comp").agg(F.min("rep").alias("component_id"))
     home = home.join(least, "comp").select(F.col("f").alias("f2"), "component_id")
