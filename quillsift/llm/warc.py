@@ -14,21 +14,27 @@ record starts and so reads one archive in any number of tasks. No chunk holds th
 before a record start (a chunk is cut where it would), so this split is exact; a record whose
 length is not as its header says is an error, never a silent loss.
 
-Of records with equal payloads of MIN_REVISIT bytes or more, the one with the smallest id is
-the response and the others are revisit records that name it, with its digest and length.
+Every row is a record of its own. Its key is its id, and from the second row of an id on the
+id with the row's number, `id.1`, `id.2`, ...: an id's payloads in the order of their digests,
+equal payloads in the order of their URLs. Segments are put together by that key, and a
+record whose segments, length or digest are not what its headers say is an error.
+
+Of records with equal payloads of MIN_REVISIT bytes or more, those with the smallest id are
+responses and the others are revisit records that name the first of them, with its digest and
+length.
 
 Defined results: a null payload is empty; rows without id are left out (there is nothing to
-name the record by); repeated ids are one record, that of the greatest payload digest; an
-empty table gives an empty archive; other columns are not read.
+name the record by); rows that repeat an id give a record and a result each, whether their
+payloads are equal or not; an empty table gives an empty archive; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillsift.llm.common import arrow_rows, cut
@@ -73,14 +79,20 @@ def payload_table(pages: DataFrame, id_col: str = "page_id", payload_col: str =
 
 
 def record_types(payloads: DataFrame) -> DataFrame:
-    """(id, n_bytes, digest, refers_to): refers_to is null for responses."""
-    one = payloads.groupBy("id").agg(F.max(F.struct("digest", "n_bytes")).alias("p")).select("id", "p.n_bytes", "p.digest")
-    first = one.where(F.col("n_bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("m")).where("m > 1").select("digest", "first")
-    out = one.join(first, "digest", "left")
-    return out.select("id", "n_bytes", "digest", F.when((F.col("first") < F.col("id")) & (F.col("n_bytes") >= MIN_REVISIT), F.col("first")).alias("refers_to"))
+    """(id, digest, n_bytes, times, start, refers_to, refers_copy), a row per id and payload: how many rows have both, the number of the first of them among the id's rows, and the record that a revisit names; refers_to is null for responses."""
+    one = payloads.groupBy("id", "digest", "n_bytes").agg(F.count("*").alias("times"))
+    before = Window.partitionBy("id").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
+    one = cut(one.withColumn("start", F.coalesce(F.sum("times").over(before), F.lit(0))), "numbered")
+    first = one.where(F.col("n_bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("m")).where("m > 1").select("digest", "first")
+    out = one.join(first, "digest", "left").withColumn("first", F.when((F.col("first.id") < F.col("id")) & (F.col("n_bytes") >= MIN_REVISIT), F.col("first")))
+    return out.select("id", "digest", "n_bytes", "times", "start", F.col("first.id").alias("refers_to"), F.col("first.start").alias("refers_copy"))
+
 
+def _key(record: int, copy: int | None) -> str:
+    return f"{record}.{copy}" if copy else f"{record}"
 
-def _header(kind: str, record: int, length: int, fields: list[tuple[str, object]]) -> bytes:
+
+def _header(kind: str, length: int, fields: list[tuple[str, object]]) -> bytes:
     lines = [("WARC-Type", kind), ("WARC-Date", _DATE), *fields, ("Content-Type", "text/html; charset=utf-8"), ("Content-Length", length)]
     return START + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + b"\r\n"
 
@@ -89,30 +101,30 @@ def _line(url: str | None) -> str:
     return "".join(c if c > " " else "%20" for c in url or "urn:unknown")
 
 
-def records(page: int, url: str | None, html: bytes, n_bytes: int, digest: str, refers_to: int | None, size: int = CHUNK) -> Iterator[bytes]:
-    """The archive records of one page, without the two line ends that close each."""
+def records(key: str, url: str | None, html: bytes, n_bytes: int, digest: str, refers_to: str | None, size: int = CHUNK) -> Iterator[bytes]:
+    """The archive records of one page, without the two line ends that close each; key and refers_to are record keys."""
     common = [("WARC-Target-URI", _line(url)), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", n_bytes)]
-    own = ("WARC-Record-ID", f"<{_ID}{page}>")
+    own = ("WARC-Record-ID", f"<{_ID}{key}>")
     if refers_to is not None:
-        yield _header("revisit", page, 0, [own, ("WARC-Refers-To", f"<{_ID}{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *common])
+        yield _header("revisit", 0, [own, ("WARC-Refers-To", f"<{_ID}{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *common])
         return
     held = None  # one chunk behind, for only the last says that it is
     for k, part, _ in chunks(html, size):
         if held is not None:
-            yield _segment(page, *held, common, last=False)
+            yield _segment(key, *held, common, last=False)
         held = k, part
-    yield _segment(page, *held, common, last=True)
+    yield _segment(key, *held, common, last=True)
 
 
-def _segment(page: int, k: int, part: bytes, common: list, last: bool) -> bytes:
-    fields = [("WARC-Record-ID", f"<{_ID}{page}>" if not k else f"<{_ID}{page}:{k + 1}>"), *common]
+def _segment(key: str, k: int, part: bytes, common: list, last: bool) -> bytes:
+    fields = [("WARC-Record-ID", f"<{_ID}{key}>" if not k else f"<{_ID}{key}:{k + 1}>"), *common]
     if k or not last:
         fields.append(("WARC-Segment-Number", k + 1))
     if k:
-        fields.append(("WARC-Segment-Origin-ID", f"<{_ID}{page}>"))
+        fields.append(("WARC-Segment-Origin-ID", f"<{_ID}{key}>"))
         if last:
             fields.append(("WARC-Segment-Total-Length", dict(common)["X-Payload-Length"]))
-    return _header("response" if not k else "continuation", page, len(part), fields) + part
+    return _header("response" if not k else "continuation", len(part), fields) + part
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url", chunk: int = CHUNK, max_records: int = MAX_RECORDS) -> None:
@@ -120,15 +132,20 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", payload_col
     types = cut(record_types(cut(payload_table(pages, id_col, payload_col), "payloads")), "types")
     url = F.col(url_col).cast("string") if url_col in pages.columns else F.lit(None).cast("string")
     base = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), url.alias("url"), F.col(payload_col).cast("binary").alias("html"))
-    base = base.join(types, "id").withColumn("same", F.sha2(F.coalesce("html", F.lit(b"")), 256) == F.col("digest"))
-    base = base.where("same").withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
-    base = base.select("id", "url", "html", "n_bytes", "digest", "refers_to")
+    rows = base.withColumn("digest", F.sha2(F.coalesce("html", F.lit(b"")), 256)).join(types, ["id", "digest"])
+    rows = rows.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
+    numbered = rows.where("times = 1").withColumn("copy", F.col("start"))
+    if not types.where("times > 1").isEmpty():  # only equal payloads of one id must be counted row by row
+        order = Window.partitionBy("id", "digest").orderBy("url")
+        numbered = numbered.union(rows.where("times > 1").withColumn("copy", F.col("start") + F.row_number().over(order) - 1))
+    base = numbered.select("id", "copy", "url", "html", "n_bytes", "digest", "refers_to", "refers_copy")
 
     def run(batches):
         for b in batches:
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                page, url, html, n, digest, refers = row
-                for record in records(page, url, html or b"", n, digest, refers, chunk):
+                page, copy, url, html, n, digest, refers, refers_copy = row
+                to = None if refers is None else _key(refers, refers_copy)
+                for record in records(_key(page, copy), url, html or b"", n, digest, to, chunk):
                     yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["value"])
 
     def grouped(batches):
@@ -157,12 +174,16 @@ def parse(record: bytes) -> dict:
     return fields | {"content": content}
 
 
-def _number(field: str) -> int:
-    return int(field.strip("<>").removeprefix(_ID).split(":")[0])
+def _number(field: str) -> tuple[int, int]:
+    """Id and copy that a record's name holds."""
+    page, _, copy = field.strip("<>").removeprefix(_ID).split(":")[0].partition(".")
+    return int(page), int(copy or 0)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The record table of the archives in path: id, type, segment (from 0), part, refers_to, digest (as declared), n_bytes (as declared)."""
+_TABLE = "id long, copy long, type string, segment long, part binary, refers_to long, refers_copy long, digest string, n_bytes long"
+
+
+def _parsed(spark: SparkSession, path: str, make_row: Callable, schema: str) -> DataFrame:
     lines = spark.read.option("lineSep", (END + START).decode()).text(path).select(F.col("value").cast("binary"))
 
     def make(cols):
@@ -170,46 +191,67 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             if not record.strip(b"\r\n"):
                 continue
             f = parse(record)
-            refers = f.get("WARC-Refers-To")
-            kind = f["WARC-Type"]
-            origin = f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"])
-            yield [_number(origin)], [kind], [int(f.get("WARC-Segment-Number", 1)) - 1], [f["content"]], [None if refers is None else _number(refers)], [f["WARC-Payload-Digest"].removeprefix("sha256:")], [int(f["X-Payload-Length"])]
+            page, copy = _number(f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"]))
+            refers, refers_copy = _number(f["WARC-Refers-To"]) if "WARC-Refers-To" in f else (None, None)
+            segment = int(f.get("WARC-Segment-Number", 1)) - 1
+            yield [[x] for x in make_row((page, copy, f["WARC-Type"], segment, f["content"], refers, refers_copy, f["WARC-Payload-Digest"].removeprefix("sha256:"), int(f["X-Payload-Length"])))]
 
-    return arrow_rows(lines, "id long, type string, segment int, part binary, refers_to long, digest string, n_bytes long", make, flush=256)
+    return arrow_rows(lines, schema, make, flush=256)
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The record table of the archives in path: id, copy (the row's number among those of the id), type, segment (from 0), part, refers_to, refers_copy, digest (as declared), n_bytes (as declared)."""
+    return _parsed(spark, path, lambda row: row, _TABLE)
+
+
+def _checked(key: str, n: int, digest: str, declared_n: int, declared: str) -> None:
+    if (n, digest) != (declared_n, declared):
+        raise ValueError(f"record {key} has {n} bytes of sha256:{digest}, not the {declared_n} of sha256:{declared} of its header")
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Per record: id, payload_bytes, payload_digest, record_type, refers_to, the first two computed from what was read.
+    """Per record: id, payload_bytes, payload_digest, record_type, refers_to, the first two computed from what was read; those of revisits are as declared.
 
     A record of one segment is hashed where it is read; segments of longer records are dealt by record and
     streamed in order through one running hash, a segment at a time.
     """
-    table = read_warc(spark, path)
-    table = cut(table.select("id", "type", "segment", "refers_to", "digest", "n_bytes", "part", F.octet_length("part").cast("long").alias("size")), "segments")
-    revisit = table.where("type = 'revisit'").select("id", F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
-    whole = table.where("type = 'response' and size = n_bytes")
-    whole = whole.select("id", F.col("size").alias("payload_bytes"), F.sha2("part", 256).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
-    pieces = table.where("type <> 'revisit' and size <> n_bytes").select("id", "segment", "part")
+
+    def hashed(row):
+        page, copy, kind, segment, part, refers, refers_copy, digest, n = row
+        if kind == "response" and len(part) == n:  # whole: its bytes go no further
+            _checked(_key(page, copy), len(part), hashlib.sha256(part).hexdigest(), n, digest)
+            part = None
+        return page, copy, kind, segment, part, refers, refers_copy, digest, n
+
+    table = cut(_parsed(spark, path, hashed, _TABLE), "segments")
+    done = table.where("type = 'revisit' or (type = 'response' and part is null)")
+    done = done.select("id", F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+    pieces = table.where("type <> 'revisit' and part is not null").select("id", "copy", "segment", "part", "digest", "n_bytes")
 
     def run(batches):
-        at, n, running = None, 0, None
+        at = running = None
+        n = k = 0
 
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([n], pa.int64()), pa.array([running.hexdigest()]), pa.array(["response"]), pa.array([None], pa.int64())], names=["id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            _checked(_key(*at[:2]), n, running.hexdigest(), at[3], at[2])
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([n], pa.int64()), pa.array([running.hexdigest()]), pa.array(["response"]), pa.array([None], pa.int64())], names=["id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
         for b in batches:
-            for page, part in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if page != at:
+            for i in range(b.num_rows):
+                page, copy, segment, part, digest, total = (c[i].as_py() for c in b.columns)
+                if at is None or (page, copy) != at[:2]:
                     if at is not None:
                         yield row()
-                    at, n, running = page, 0, hashlib.sha256()
+                    at, n, k, running = (page, copy, digest, total), 0, 0, hashlib.sha256()
+                if segment != k:
+                    raise ValueError(f"record {_key(page, copy)} has segment {segment} where {k} should be")
                 running.update(part)
-                n += len(part)
+                n, k = n + len(part), k + 1
         if at is not None:
             yield row()
 
-    long = pieces.repartition("id").sortWithinPartitions("id", "segment").mapInArrow(run, revisit.schema)
-    return revisit.union(whole).union(long)
+    long = pieces.repartition("id", "copy").sortWithinPartitions("id", "copy", "segment").mapInArrow(run, done.schema)
+    return done.union(long)
 
 
 def page_records(pages: DataFrame, path: str, id_col: str = "page_id", **options) -> DataFrame:

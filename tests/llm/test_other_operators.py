@@ -147,6 +147,28 @@ def test_warc(spark, tmp_path):
         parse(b"WARC/1.1\r\nWARC-Record-ID: x\r\nContent-Length: 5\r\n\r\nabc")
 
 
+@pytest.mark.parametrize("size", [1 << 20, 64])
+def test_warc_writes_every_row_of_a_repeated_id(spark, tmp_path, size):
+    a, b, c = "a" * 300, "b" * 250, "c" * 200
+    pages = [(5, "u", a), (5, "u", a), (5, "v", a), (5, "u", b), (7, "u", a), (7, "u", a), (7, "u", b), (4, "u", c), (4, "u", c), (6, "u", c), (8, "u", None), (8, "u", "short"), (8, "u", "short")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = []
+    for i, _, html in pages:
+        data = (html or "").encode()
+        src = min(j for j, _, h in pages if h == html)
+        again = len(data) >= 100 and src < i
+        want.append((i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", src if again else None))
+    got = page_records(df.repartition(3), f"file://{tmp_path}/w", chunk=size).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    table = read_warc(spark, f"file://{tmp_path}/w").collect()
+    keys = [(r["id"], r["copy"], r["segment"]) for r in table]
+    payloads = {}
+    for r in sorted(table, key=lambda r: (r["id"], r["copy"], r["segment"])):
+        payloads[r["id"], r["copy"]] = payloads.get((r["id"], r["copy"]), b"") + bytes(r["part"])
+    assert len(keys) == len(set(keys)) and sorted(payloads) == sorted((i, k) for i in {p[0] for p in pages} for k in range(sum(p[0] == i for p in pages)))
+    assert all(hashlib.sha256(payloads[r["refers_to"], r["refers_copy"]]).hexdigest() == r["digest"] for r in table if r["type"] == "revisit")
+
+
 def test_chunks_carry_running_digests():
     data = bytes(range(256)) * 10
     parts = list(chunks(data, 100))
