@@ -15,8 +15,8 @@ without structure in the data is; memory is bounded by the tile.
 
 Defined results: vectors that are null, empty, zero or hold a null, NaN or infinite component
 link with nothing; vectors of different lengths link with nothing; a row without id has no
-links and a null component; repeated ids with equal vectors are one vector; an empty table
-gives an empty table.
+links and a null component; repeated ids with equal vectors are one vector, with
+different ones several; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import cut, same
+from quillsift.llm.common import cut, fresh
 from quillsift.llm.components import connected_components
 
 #: Vectors in a block and components in a block at most, and rows of a tile that are multiplied at once.
@@ -149,23 +149,33 @@ def _tiles(blocks: DataFrame, n_blocks: int, threshold: float) -> DataFrame:
 
 def embedding_links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", emb_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """One row per row of vectors: id_col, n_links, component_id, kept."""
+    return _linked(vectors, threshold, id_col, emb_col, block).select(F.col("id").alias(id_col), "n_links", "component_id", "kept")
+
+
+def _linked(vectors: DataFrame, threshold: float, id_col: str, emb_col: str, block: int) -> DataFrame:
+    """One row per row of vectors: id, emb, n_links, component_id, kept."""
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(emb_col).cast("array<double>").alias("emb"))
     fit = F.exists("emb", lambda x: x != 0) & F.forall("emb", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
     base = base.withColumn("fit", F.coalesce(fit & F.col("id").isNotNull(), F.lit(False)))
-    classes = cut(base.where("fit").select("id", "emb").distinct().groupBy("emb").agg(F.min("id").alias("rep"), F.count("*").alias("m")), "classes")
+    classes = base.where("fit").select("id", "emb").distinct().groupBy("emb").agg(F.min("id").alias("first"), F.count("*").alias("m"))
+    classes = cut(classes.withColumn("rep", F.xxhash64("emb")), "classes")  # the vector names the class, for an id may have several
     n, width = classes.agg(F.count("*"), F.max(F.size("emb"))).first()
     n_blocks = max(1, -(-n // max(1, min(block, CELLS // (width or 1)))))
     found = cut(_tiles(cut(_blocks(classes, n_blocks), "blocks"), n_blocks, threshold), "links")
     comps = connected_components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
-    done = classes.join(links, classes.rep == links.a, "left").join(comps, classes.rep == comps.node, "left")
-    done = done.select(F.col("emb").alias("emb2"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    home = classes.join(comps, classes.rep == comps.node, "left").withColumn("component", F.coalesce("component", "rep"))
+    least = home.groupBy("component").agg(F.min("first").alias("component_id"))
+    done = home.join(links, home.rep == links.a, "left").join(least, "component")
+    done = done.select(F.col("emb").alias("emb2"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")
     out = base.join(done, base.fit & (F.col("emb") == F.col("emb2")), "left")
     comp = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
+    return out.select("id", "emb", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
 
 
 def dedup_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", emb_col: str = "embedding") -> DataFrame:
-    """The rows of vectors without those that a vector with a smaller id stands for."""
-    gone = embedding_links(vectors, threshold, id_col, emb_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return vectors.join(gone, same(vectors[id_col].cast("long"), gone["__gone"]), "left_anti")
+    """The rows of vectors without those that a vector with a smaller id stands for; the vectors of one id are judged each by itself."""
+    p = fresh(vectors)
+    gone = _linked(vectors, threshold, id_col, emb_col, BLOCK).where("not kept").select(F.col("id").alias(p + "id"), F.xxhash64("emb").alias(p + "h")).distinct()
+    key = F.xxhash64(F.col(emb_col).cast("array<double>"))
+    return vectors.join(gone, (F.col(id_col).cast("long") == F.col(p + "id")) & (key == F.col(p + "h")), "left_anti")

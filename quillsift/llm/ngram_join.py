@@ -29,10 +29,10 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import U, arrow_rows, cut, discard, mixed, same, shingle_set, signed, text_bytes
+from quillsift.llm.common import U, arrow_rows, cut, discard, fresh, mixed, shingle_set, signed, text_bytes
 from quillsift.llm.components import connected_components
 
 #: Most entries of the frequent class that is broadcast (16 bytes each, 64 MB at most): a token is frequent from
@@ -131,18 +131,18 @@ def set_class(u: np.ndarray) -> int | None:
 
 
 def _signed_docs(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(id, n, f, beyond, sigs): set size, class of equal sets (null without words), tokens beyond the prefix, signatures."""
+    """(id, h, n, f, beyond, sigs): hash of the text, set size, class of equal sets (null without words), tokens beyond the prefix, signatures."""
     fh, fc = _frequent(docs, k)
     shared = docs.sparkSession.sparkContext.broadcast((fh, fc))
 
     def make(cols):
         fh, fc = shared.value
-        for doc, text in zip(*cols, strict=True):
+        for doc, h, text in zip(*cols, strict=True):
             u = shingle_set(text, k)
             sigs, beyond = signatures(u, fh, fc, num, den) if len(u) else (None, -1)
-            yield [doc], [len(u)], [set_class(u)], [beyond], [signed(sigs) if len(u) else None]
+            yield [doc], [h], [len(u)], [set_class(u)], [beyond], [signed(sigs) if len(u) else None]
 
-    return arrow_rows(docs, "id long, n long, f long, beyond long, sigs array<long>", make, flush=2_000)
+    return arrow_rows(docs, "id long, h long, n long, f long, beyond long, sigs array<long>", make, flush=2_000)
 
 
 def _close(num: int, den: int):
@@ -272,9 +272,14 @@ def _unsettled(rows: DataFrame) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", stars: int = 2) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (smallest id reachable by links of Jaccard num/den or more)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
+    return _grouped(docs, k, num, den, id_col, text_col, stars, F.lit(None).cast("long")).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, stars: int, key: Column) -> DataFrame:
+    """One row per row of docs: id, h (key, which tells the texts of one id apart), n_shingles, component_id."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("h"), text_bytes(text_col).alias("text"))
     signed_docs = cut(_signed_docs(docs, k, num, den), "signed")
-    member = signed_docs.select("id", "n", "f")
+    member = signed_docs.select("id", "h", "n", "f")
     usable = signed_docs.where("id is not null and f is not null")
     classes = usable.groupBy("f").agg(F.first("n").alias("n"), F.first("beyond").alias("beyond"), F.first("sigs").alias("sigs"))
     rows = classes.select(F.explode("sigs").alias("sig"), *_SIDE)
@@ -333,10 +338,12 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     least = home.groupBy("comp").agg(F.min("rep").alias("component_id"))
     home = home.join(least, "comp").select(F.col("f").alias("f2"), "component_id")
     out = member.join(home, member.f == home.f2, "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    return out.select("id", "h", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def dedup_ngrams(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those that a document with a smaller id stands for; rows without id stay."""
-    gone = jaccard_groups(docs, k, num, den, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, same(docs[id_col].cast("long"), gone["__gone"]), "left_anti")
+    """The rows of docs without those that a document with a smaller id stands for; rows without id stay, and the texts of one id are judged each by itself."""
+    p, key = fresh(docs), F.xxhash64(F.col(text_col).cast("string"))
+    found = _grouped(docs, k, num, den, id_col, text_col, 2, key)
+    gone = found.where("id <> component_id").select(F.col("id").alias(p + "id"), F.col("h").alias(p + "h")).distinct()
+    return docs.join(gone, (F.col(id_col).cast("long") == F.col(p + "id")) & (key == F.col(p + "h")), "left_anti")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillsift.llm.embedding_dedup import embedding_links, quantised, unit
+from quillsift.llm.embedding_dedup import dedup_embeddings, embedding_links, quantised, unit
 from quillsift.llm.langid import held_out, identify, keep_identified, learn
 from quillsift.llm.licenses import TEMPLATES, license_matches, template_bigrams
 from quillsift.llm.mixing import entropy, exponent_for, mix_sources, mixing_schedule, repeats, weights
@@ -39,6 +39,12 @@ def test_embedding_links(spark, block):
     assert embedding_links(df.limit(0)).count() == 0
 
 
+def test_vectors_of_one_id_stay_or_go_each_by_itself(spark):
+    rows = [(1, [1.0, 0.0]), (5, [1.0, 0.01]), (5, [0.0, 1.0]), (5, None), (6, [0.01, 1.0]), (None, [1.0, 0.0])]
+    left = dedup_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, [rows[0], rows[2], rows[3], rows[5]]))
+
+
 def test_quantisation_bound_holds():
     x = unit(np.random.default_rng(1).normal(size=(200, 48)))
     q, s, a, e = quantised(x)

@@ -97,6 +97,13 @@ def test_one_of_each_group_stays(spark):
     assert left.columns == docs.columns and sorted(map(repr, (r[0] for r in left.collect()))) == sorted(repr(i) for i, _ in rows if i in keep)
 
 
+def test_texts_of_one_id_stay_or_go_each_by_itself(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(100)) for x in "ab")
+    rows = [(1, a), (5, a + " more"), (5, a + " more"), (5, b), (5, None), (6, b + " more"), (None, a)]
+    left = dedup_ngrams(table(spark, rows))
+    assert sorted(map(repr, left.select("doc_id", "text").collect())) == sorted(map(repr, table(spark, [(1, a), (5, b), (5, None), (None, a)]).select("doc_id", "text").collect()))
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(20)] + [(50, 51), (51, 50), (60, 60), (None, 3), (70, 10)] + [(100, x) for x in range(101, 140)]
     got = {r[0]: r[1] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
