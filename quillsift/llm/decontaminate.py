@@ -6,7 +6,7 @@ ends. A document's words are streamed through it once; the longest match that en
 word is tracked, and where it reaches the window (or a whole shorter item) the words are hit
 and the state tells which items hold them. The automaton is broadcast; its size is bounded by
 MAX_WORDS benchmark words, and a larger benchmark is cut into several automata whose hits are
-merged per document, so no result depends on the bound.
+merged per document and joined back to its rows, so no result depends on the bound.
 
 Defined results: null or wordless texts are not contaminated; items without id or words are
 left out; an item of fewer words than the window is one window; items with equal texts are all
@@ -155,9 +155,9 @@ def _parts(benchmark: DataFrame, id_col: str, text_col: str, max_words: int):
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
-    """(id, h, n_words, spans array<struct<a,b>>, items array<string>), h the text's hash; a row per row of docs, or per (id, h) for a benchmark of several parts."""
+    """(id, h, n_words, spans array<struct<a,b>>, items array<string>), h the text's hash; a row per row of docs."""
     spark: SparkSession = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")), text_bytes(text_col))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), text_bytes(text_col).alias("t"))
     schema = "id long, h long, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
 
     def hits(part):
@@ -190,7 +190,10 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], covered]).astype(np.int8))).tolist()
                 yield [doc], [h], [n], [[{"a": a, "b": b} for a, b in zip(edges[::2], edges[1::2], strict=True)]], [sorted(items)]
 
-        out = arrow_rows(out, schema, merge, flush=20_000)
+        merged = cut(arrow_rows(out, schema, merge, flush=20_000), "merged")
+        found = merged.select(F.col("id").alias("id2"), F.col("h").alias("h2"), "n_words", "spans", "items")
+        rows = base.select("id", "h")
+        out = rows.join(found, same(rows["id"], found["id2"]) & (rows["h"] == found["h2"])).select("id", "h", "n_words", "spans", "items")
     return out
 
 

@@ -140,6 +140,16 @@ def test_contamination(spark):
     assert contamination_report(table(spark, rows).limit(0), bench).count() == 0
 
 
+def test_contamination_has_a_row_per_row_for_any_number_of_automata(spark):
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(8))) for k in range(6)]
+    rows = [(1, items[0][1]), (1, items[0][1]), (1, items[3][1]), (None, items[1][1]), (None, items[1][1]), (None, None), (2, None), (2, None), (3, f"{items[0][1]} x {items[5][1]}")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(((i, *brute_hits(t, items, 6)) for i, t in rows), key=repr)
+    for most in (10_000, 10):
+        got = contamination_report(table(spark, rows), bench, window=6, max_words=most).collect()
+        assert sorted(map(tuple, got), key=repr) == want
+
+
 def test_decontaminate(spark):
     item = " ".join(f"b{k}" for k in range(15))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
