@@ -30,6 +30,9 @@ PROFILE, TRAIN_DOCS, MAX_LANGS = 400, 4_000, 5_000
 UNKNOWN = "und"
 #: Distinct n-grams that a task counts before it hands on its counts.
 COUNTED = 2_000_000
+#: What rejects a text in `rejecting`: the part of a language's learned documents that may lie below, what is left of
+#: their bound for clean texts unlike them, and the fewest learned documents that give a language bounds of its own.
+REJECT, LOOSE, JUDGED = 0.01, 0.5, 100
 
 
 @cache
@@ -81,8 +84,8 @@ class Profiles:
         return self.langs[best], 1.0 - float(out[best]) / (self.top * len(own))
 
 
-def learn(docs: DataFrame, train: Column, top: int = PROFILE, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
-    """Profiles from the rows of docs where train holds, with a text and a language."""
+def _chosen(docs: DataFrame, train: Column, train_docs: int, id_col: str, text_col: str, lang_col: str) -> DataFrame | None:
+    """(lang, text) of the rows that profiles are learned from; None without any."""
     p = fresh(docs)
     spark = docs.sparkSession
     rows = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
@@ -90,10 +93,18 @@ def learn(docs: DataFrame, train: Column, top: int = PROFILE, train_docs: int =
     if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not langs:
-        return Profiles({}, top)
+        return None
     share = spark.createDataFrame([(r["lang"], min(1.0, train_docs / r["count"])) for r in langs], f"{p}lang string, {p}share double")
     draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.join(F.broadcast(share), rows[lang_col].cast("string") == F.col(p + "lang")).where(draw < F.col(p + "share"))
+    return chosen.select(F.col(p + "lang").alias("lang"), F.col(text_col).cast("string").alias("text"))
+
+
+def learn(docs: DataFrame, train: Column, top: int = PROFILE, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
+    """Profiles from the rows of docs where train holds, with a text and a language."""
+    chosen = _chosen(docs, train, train_docs, id_col, text_col, lang_col)
+    if chosen is None:
+        return Profiles({}, top)
 
     def run(batches):
         import pyarrow as pa
@@ -123,7 +134,7 @@ def learn(docs: DataFrame, train: Column, top: int = PROFILE, train_docs: int =
                     held, size = {}, 0
         yield from out()
 
-    counts = chosen.select(F.col(p + "lang"), F.col(text_col).cast("string")).mapInArrow(run, "lang string, code long, count long")
+    counts = chosen.mapInArrow(run, "lang string, code long, count long")
     counts = cut(counts.groupBy("lang", "code").agg(F.sum("count").alias("count")), "ngrams")
     from pyspark.sql import Window
 
@@ -134,6 +145,37 @@ def learn(docs: DataFrame, train: Column, top: int = PROFILE, train_docs: int =
     return Profiles({lang: np.array([code for _, code in sorted(x)], np.int64).view(U) for lang, x in got.items()}, top)
 
 
+def letter_share(text: str | None) -> float:
+    """The part of a text's characters, blanks left out, that are letters."""
+    c = np.frombuffer("".join((text or "").split()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return float(_letters()[c].mean()) if len(c) else 0.0
+
+
+def rejecting(docs: DataFrame, profiles: Profiles, train: Column, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str | None, tuple[float, float]]:
+    """(score, letter share) by language below which a text is not of it: LOOSE times what all but the lowest REJECT of its learned documents reach.
+
+    Both are needed: the score tells foreign words, but a text of few letters scores as high as any, and
+    there the share of letters tells symbols, numbers and markup. Under None stand the least bounds of all,
+    for languages of fewer than JUDGED learned documents; without any others, nothing is rejected.
+    """
+    chosen = _chosen(docs, train, train_docs, id_col, text_col, lang_col)
+    if chosen is None:
+        return {None: (0.0, 0.0)}
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+
+    def make(cols):
+        known = shared.value
+        for lang, text in zip(*cols, strict=True):
+            found, score = known.predict(text)
+            if found != UNKNOWN:
+                yield [lang], [score], [letter_share(text)]
+
+    scored = arrow_rows(chosen, "lang string, score double, letters double", make, flush=20_000).groupBy("lang")
+    low = scored.agg(F.count("*").alias("n"), *[F.percentile(c, F.lit(REJECT)).alias(c) for c in ("score", "letters")]).where(F.col("n") >= JUDGED).collect()
+    bounds = {r["lang"]: (LOOSE * r["score"], LOOSE * r["letters"]) for r in low}
+    return bounds | {None: tuple(map(min, zip(*bounds.values(), strict=True))) if bounds else (0.0, 0.0)}
+
+
 def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -152,8 +194,8 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return arrow_rows(base, f"`{id_col}` long, h long, lang_pred string, score double", make, flush=20_000)
 
 
-def keep_identified(docs: DataFrame, profiles: Profiles, accepted: list[str] | None = None, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose language is known (and accepted, and scored min_score or more)."""
+def keep_identified(docs: DataFrame, profiles: Profiles, accepted: list[str] | None = None, min_score: float = 0.0, text_col: str = "text", bounds: dict[str | None, tuple[float, float]] | None = None) -> DataFrame:
+    """The rows of docs whose language is known (and accepted, and scored min_score or more, and within the bounds of `rejecting`)."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     @F.pandas_udf("boolean")
@@ -161,7 +203,11 @@ def keep_identified(docs: DataFrame, profiles: Profiles, accepted: list[str] | N
         known, out = shared.value, []
         for text in texts:
             lang, score = known.predict(text)
-            out.append(lang != UNKNOWN and score >= min_score and (accepted is None or lang in accepted))
+            fits = lang != UNKNOWN and score >= min_score and (accepted is None or lang in accepted)
+            if fits and bounds is not None:
+                least, letters = bounds.get(lang, bounds[None])
+                fits = score >= least and letter_share(text) >= letters
+            out.append(fits)
         return pd.Series(out, dtype=bool)
 
     return docs.where(good(F.col(text_col).cast("string")))

@@ -104,6 +104,14 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in identify(docs.limit(5), none).collect()} == {"und"}
 
 
+def test_language_stage_rejects_what_is_no_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    noise = ["12,3 | 4.5 | q | 88 | z 10", "{}[]();;&&|| k == 0;", "#### 1 2 3 a 4 5 %%%", "Это русский текст о погоде", "9 8 7 6 5 4 3 e 2 1 0 " * 50]
+    extra = documents(spark, [(-1 - k, t, "en", "s") for k, t in enumerate(noise)]).select(*docs.columns)
+    left = corpus_pipeline.identify_language(spark, docs.union(extra), "")
+    assert left.where("doc_id < 0").count() == 0 and left.count() >= 0.995 * docs.count()
+
+
 def test_rollup(spark, tmp_path):
     docs = documents(spark, [(1, "a b", "en", "x"), (2, "c", "en", "x"), (3, None, None, None), (4, "d-e f", "de", "y")])
     rollup, one = TokenRollup(spark, f"file://{tmp_path}/r"), lambda q, v="blank-1": counted(docs.where(q), v)
