@@ -19,6 +19,9 @@ components is lost. Groups of a combination with more than FEW members are near
 other; there, sets are compared by their differences from one member, the hub (see `_prefixes`),
 so that only sets which changed in the same places meet.
 
+The threshold must be above 1/2: linked sizes then span two bucketings at most, and a set of
+one token links with its equals only. Others are refused.
+
 Defined results: a set without words is linked with nothing; repeated rows share one class;
 a row without id gets its set size and no component; an empty table gives an empty table.
 """
@@ -277,6 +280,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
 
 def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, stars: int, key: Column) -> DataFrame:
     """One row per row of docs: id, h (key, which tells the texts of one id apart), n_shingles, component_id."""
+    if not den < 2 * num <= 2 * den:
+        raise ValueError(f"the threshold must be above 1/2 and at most 1, not {num}/{den}: below, linked sets may share no signature")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("h"), text_bytes(text_col).alias("text"))
     signed_docs = cut(_signed_docs(docs, k, num, den), "signed")
     member = signed_docs.select("id", "h", "n", "f")

@@ -233,6 +233,12 @@ def test_phrases_cover_all_windows():
     assert a[0] == 0 and b[-1] == 381 and (a[1:] == b[:-1]).all()
 
 
+@pytest.mark.parametrize("num", [30, 50, 101])
+def test_thresholds_without_complete_candidates_are_refused(spark, num):
+    with pytest.raises(ValueError, match="threshold"):
+        jaccard_groups(table(spark, [(1, "a"), (2, "a b")]), 1, num, 100)
+
+
 def test_empty_tables(spark):
     none = table(spark, corpus()).limit(0)
     assert jaccard_groups(none).count() == 0 and dedup_substrings(none).count() == 0
