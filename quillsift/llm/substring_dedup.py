@@ -1,14 +1,14 @@
-"""Substring dedup by relative Lempel-Ziv parsing against hash-partitioned reference blocks.
+"""Substring dedup by anchor phrases and window hashes against hash-partitioned reference blocks.
+
+This stands in for relative Lempel-Ziv parsing: no longest match is sought or extended.
 
 The reference is the whole corpus in order of document id. Its index is made of phrases, dealt
 by hash to blocks: a phrase is the run of words in which one anchor (the least hash of eight
 words within a window, so equal windows have equal anchors) is the anchor of every window.
-A document is factored greedily: each of its phrases is looked up in the block that would hold
-it, and where an earlier document has it, the whole phrase is a factor, at least as long as a
-window, and its words are duplicates. Where the parse breaks - a phrase is new but its anchor
-has been seen with other surroundings, which is where a factor ends inside a phrase - the
-factor boundary is checked window by window, against the windows of every first phrase with
-that anchor. The first holder of a window holds it in a phrase that no earlier document has,
+Each phrase of a document is looked up in the block that would hold it, and where an earlier
+document has it, its words, a window or more, are duplicates. Where a phrase is new but its
+anchor has been seen with other surroundings, it is checked window by window, against the
+windows of every first phrase with that anchor. The first holder of a window holds it in a phrase that no earlier document has,
 so it is among those, and the result is exact: a word goes if and only if a window of `window`
 words that covers it starts in a document with a smaller id.
 
