@@ -4,8 +4,9 @@ A payload never needs to be one record: it is cut into chunks of at most `chunk`
 (record id, chunk number, bytes) that carry the SHA-256 of the payload up to their end, which
 one running hash gives as it passes over the chunks. A chunk becomes one archive record: the
 first is the response, the others are `continuation` records with WARC-Segment-Number and
-WARC-Segment-Origin-ID, as the standard's record segmentation has it, so neither the writer
-nor the reader ever holds more than a chunk of a record beside the cell that it came from.
+WARC-Segment-Origin-ID, as the standard's record segmentation has it, so the reader
+holds a chunk of a record at a time; the writer also holds the cell that it cuts, within the
+Arrow batch that brought it. Each segment says the digest so far, which the reader checks.
 
 Archives are written by Spark's text sink, with the two line ends that close a WARC record for
 its separator: they go to any store that Spark writes to, in files of at most max_records
@@ -66,16 +67,8 @@ def chunks(payload: bytes, size: int = CHUNK) -> Iterator[tuple[int, bytes, str]
 
 def payload_table(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
     """(id, n_bytes, digest) of every record's whole payload; repeated ids give one row each."""
-
-    def make(cols):
-        for page, html in zip(*cols, strict=True):
-            digest = ""
-            for _, _, digest in chunks(html or b""):
-                pass
-            yield [page], [len(html or b"")], [digest]
-
-    base = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(payload_col).cast("binary"))
-    return arrow_rows(base, "id long, n_bytes long, digest string", make, flush=50_000)
+    html = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
+    return pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.octet_length(html).cast("long").alias("n_bytes"), F.sha2(html, 256).alias("digest"))
 
 
 def record_types(payloads: DataFrame) -> DataFrame:
@@ -109,15 +102,16 @@ def records(key: str, url: str | None, html: bytes, n_bytes: int, digest: str, r
         yield _header("revisit", 0, [own, ("WARC-Refers-To", f"<{_ID}{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *common])
         return
     held = None  # one chunk behind, for only the last says that it is
-    for k, part, _ in chunks(html, size):
+    for k, part, running in chunks(html, size):
         if held is not None:
             yield _segment(key, *held, common, last=False)
-        held = k, part
+        held = k, part, running
     yield _segment(key, *held, common, last=True)
 
 
-def _segment(key: str, k: int, part: bytes, common: list, last: bool) -> bytes:
+def _segment(key: str, k: int, part: bytes, running: str, common: list, last: bool) -> bytes:
     fields = [("WARC-Record-ID", f"<{_ID}{key}>" if not k else f"<{_ID}{key}:{k + 1}>"), *common]
+    fields.append(("X-Running-Digest", f"sha256:{running}"))
     if k or not last:
         fields.append(("WARC-Segment-Number", k + 1))
     if k:
@@ -142,8 +136,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", payload_col
 
     def run(batches):
         for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                page, copy, url, html, n, digest, refers, refers_copy = row
+            for i in range(b.num_rows):  # a cell at a time
+                page, copy, url, html, n, digest, refers, refers_copy = (c[i].as_py() for c in b.columns)
                 to = None if refers is None else _key(refers, refers_copy)
                 for record in records(_key(page, copy), url, html or b"", n, digest, to, chunk):
                     yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["value"])
@@ -180,7 +174,7 @@ def _number(field: str) -> tuple[int, int]:
     return int(page), int(copy or 0)
 
 
-_TABLE = "id long, copy long, type string, segment long, part binary, refers_to long, refers_copy long, digest string, n_bytes long"
+_TABLE = "id long, copy long, type string, segment long, part binary, refers_to long, refers_copy long, digest string, n_bytes long, running string"
 
 
 def _parsed(spark: SparkSession, path: str, make_row: Callable, schema: str) -> DataFrame:
@@ -194,13 +188,13 @@ def _parsed(spark: SparkSession, path: str, make_row: Callable, schema: str) ->
             page, copy = _number(f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"]))
             refers, refers_copy = _number(f["WARC-Refers-To"]) if "WARC-Refers-To" in f else (None, None)
             segment = int(f.get("WARC-Segment-Number", 1)) - 1
-            yield [[x] for x in make_row((page, copy, f["WARC-Type"], segment, f["content"], refers, refers_copy, f["WARC-Payload-Digest"].removeprefix("sha256:"), int(f["X-Payload-Length"])))]
+            yield [[x] for x in make_row((page, copy, f["WARC-Type"], segment, f["content"], refers, refers_copy, f["WARC-Payload-Digest"].removeprefix("sha256:"), int(f["X-Payload-Length"]), f.get("X-Running-Digest", "").removeprefix("sha256:") or None))]
 
     return arrow_rows(lines, schema, make, flush=256)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The record table of the archives in path: id, copy (the row's number among those of the id), type, segment (from 0), part, refers_to, refers_copy, digest (as declared), n_bytes (as declared)."""
+    """The record table of the archives in path: id, copy (the row's number among those of the id), type, segment (from 0), part, refers_to, refers_copy, digest and n_bytes (of the payload, as declared), running (the digest up to the segment's end, as declared; null for revisits)."""
     return _parsed(spark, path, lambda row: row, _TABLE)
 
 
@@ -210,48 +204,56 @@ def _checked(key: str, n: int, digest: str, declared_n: int, declared: str) -> N
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Per record: id, payload_bytes, payload_digest, record_type, refers_to, the first two computed from what was read; those of revisits are as declared.
+    """Per record: id, payload_bytes, payload_digest, record_type, refers_to, the two computed from what was read; those of a revisit are of the response that it names.
 
     A record of one segment is hashed where it is read; segments of longer records are dealt by record and
-    streamed in order through one running hash, a segment at a time.
+    streamed in order through one running hash, a segment at a time, which each segment's own must equal.
     """
 
     def hashed(row):
-        page, copy, kind, segment, part, refers, refers_copy, digest, n = row
+        page, copy, kind, segment, part, refers, refers_copy, digest, n, running = row
         if kind == "response" and len(part) == n:  # whole: its bytes go no further
             _checked(_key(page, copy), len(part), hashlib.sha256(part).hexdigest(), n, digest)
+            _checked(_key(page, copy), len(part), digest, n, running)
             part = None
-        return page, copy, kind, segment, part, refers, refers_copy, digest, n
+        return page, copy, kind, segment, part, refers, refers_copy, digest, n, running
 
     table = cut(_parsed(spark, path, hashed, _TABLE), "segments")
-    done = table.where("type = 'revisit' or (type = 'response' and part is null)")
-    done = done.select("id", F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
-    pieces = table.where("type <> 'revisit' and part is not null").select("id", "copy", "segment", "part", "digest", "n_bytes")
+    whole = table.where("type = 'response' and part is null").select("id", "copy", F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"))
+    pieces = table.where("type <> 'revisit' and part is not null").select("id", "copy", "segment", "part", "digest", "n_bytes", "running")
 
     def run(batches):
-        at = running = None
+        at = so_far = None
         n = k = 0
 
         def row():
-            _checked(_key(*at[:2]), n, running.hexdigest(), at[3], at[2])
-            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([n], pa.int64()), pa.array([running.hexdigest()]), pa.array(["response"]), pa.array([None], pa.int64())], names=["id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            _checked(_key(*at[:2]), n, so_far.hexdigest(), at[3], at[2])
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int64()), pa.array([n], pa.int64()), pa.array([so_far.hexdigest()])], names=["id", "copy", "payload_bytes", "payload_digest"])
 
         for b in batches:
             for i in range(b.num_rows):
-                page, copy, segment, part, digest, total = (c[i].as_py() for c in b.columns)
+                page, copy, segment, part, digest, total, running = (c[i].as_py() for c in b.columns)
                 if at is None or (page, copy) != at[:2]:
                     if at is not None:
                         yield row()
-                    at, n, k, running = (page, copy, digest, total), 0, 0, hashlib.sha256()
-                if segment != k:
-                    raise ValueError(f"record {_key(page, copy)} has segment {segment} where {k} should be")
-                running.update(part)
-                n, k = n + len(part), k + 1
+                    at, n, k, so_far = (page, copy, digest, total), 0, 0, hashlib.sha256()
+                so_far.update(part)
+                n += len(part)
+                if segment != k or so_far.hexdigest() != running:
+                    raise ValueError(f"record {_key(page, copy)}: segment {segment} is not the one to follow {k} others")
+                k += 1
         if at is not None:
             yield row()
 
-    long = pieces.repartition("id", "copy").sortWithinPartitions("id", "copy", "segment").mapInArrow(run, done.schema)
-    return done.union(long)
+    long = pieces.repartition("id", "copy").sortWithinPartitions("id", "copy", "segment").mapInArrow(run, whole.schema)
+    responses = cut(whole.union(long), "responses")
+    named = responses.select(F.col("id").alias("refers_to"), F.col("copy").alias("refers_copy"), "payload_bytes", "payload_digest")
+    revisit = table.where("type = 'revisit'").select("id", "refers_to", "refers_copy", "n_bytes", "digest").join(named, ["refers_to", "refers_copy"], "left")
+    right = F.col("payload_bytes").eqNullSafe(F.col("n_bytes")) & F.col("payload_digest").eqNullSafe(F.col("digest"))
+    wrong = F.raise_error(F.concat(F.lit("no response has the payload of revisit record "), F.col("id").cast("string"))).cast("boolean")
+    revisit = revisit.where(F.when(right, True).otherwise(wrong))
+    out = responses.select("id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return out.union(revisit.select("id", "payload_bytes", "payload_digest", F.lit("revisit"), "refers_to"))
 
 
 def page_records(pages: DataFrame, path: str, id_col: str = "page_id", **options) -> DataFrame:

@@ -16,7 +16,7 @@ from quillsift.llm.langid import held_out, identify, keep_identified, learn
 from quillsift.llm.licenses import TEMPLATES, license_matches, template_bigrams
 from quillsift.llm.mixing import entropy, exponent_for, mix_sources, mixing_schedule, repeats, weights
 from quillsift.llm.token_rollup import TokenRollup, byte_bpe, counted, deleted, inserted, revised
-from quillsift.llm.warc import chunks, page_records, parse, read_warc, write_warc
+from quillsift.llm.warc import chunks, page_records, parse, read_payloads, read_warc, write_warc
 
 
 @pytest.mark.parametrize("block", [8192, 7])
@@ -183,6 +183,29 @@ def test_warc_writes_every_row_of_a_repeated_id(spark, tmp_path, size):
     assert all(hashlib.sha256(payloads[r["refers_to"], r["refers_copy"]]).hexdigest() == r["digest"] for r in table if r["type"] == "revisit")
 
 
+@pytest.mark.parametrize("wrong", ["running", "part", "response"])
+def test_warc_reading_checks_running_digests_and_revisits(spark, tmp_path, wrong):
+    body = "".join(f"word{k} " for k in range(30))
+    write_warc(spark.createDataFrame([(1, "u", body), (2, "u", body)], "page_id long, url string, html string"), f"file://{tmp_path}/w", chunk=64)
+    for r in read_warc(spark, f"file://{tmp_path}/w").where("type <> 'revisit'").collect():
+        assert r["running"] == hashlib.sha256(body.encode()[: 64 * (r["segment"] + 1)]).hexdigest()
+    assert read_payloads(spark, f"file://{tmp_path}/w").count() == 2
+    files = [f for f in (tmp_path / "w").glob("part-*") if f.stat().st_size]
+    (tmp_path / "x").mkdir()
+    for f in files:
+        data = f.read_bytes()
+        if wrong == "part":
+            data = data.replace(b"word20 ", b"word2x ")
+        elif wrong == "running":
+            digest = hashlib.sha256(body.encode()[:128]).hexdigest().encode()
+            data = data.replace(b"X-Running-Digest: sha256:" + digest, b"X-Running-Digest: sha256:" + b"0" * 64)
+        else:
+            data = data.replace(b"WARC-Refers-To: <urn:quillsift:record:1>", b"WARC-Refers-To: <urn:quillsift:record:3>")
+        (tmp_path / "x" / f.name).write_bytes(data)
+    with pytest.raises(Exception, match="no response" if wrong == "response" else "is not the one to follow"):
+        read_payloads(spark, f"file://{tmp_path}/x").count()
+
+
 def test_chunks_carry_running_digests():
     data = bytes(range(256)) * 10
     parts = list(chunks(data, 100))
