@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import scratch_path, table
+from quillsift.llm.common import cut, scratch_path, table
 from quillsift.llm.decontaminate import contamination_report
 from quillsift.llm.embedding_dedup import embedding_links
 from quillsift.llm.langid import held_out, identify, learn
@@ -14,7 +14,7 @@ from quillsift.llm.line_dedup import dedup_lines
 from quillsift.llm.mixing import mix_sources
 from quillsift.llm.ngram_join import jaccard_groups
 from quillsift.llm.substring_dedup import dedup_substrings
-from quillsift.llm.token_rollup import TokenRollup, counted, deleted, inserted, revised
+from quillsift.llm.token_rollup import TokenRollup, counted_each, deleted, inserted, of_version, revised
 from quillsift.llm.warc import page_records
 
 
@@ -54,15 +54,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents are inserted; those labelled toxic are deleted, in a batch that is sent twice; the others labelled of low quality are counted anew by another tokenizer."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    toxic = labels.where("toxic = 1").select("doc_id").distinct()
-    low = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
-    marked = docs.select("doc_id", "text", "source", "lang")
-    marked_toxic, marked_low = marked.join(toxic, "doc_id", "left_semi"), marked.join(low, "doc_id", "left_semi")
+    toxic = labels.where("toxic = 1").select(F.col("doc_id").alias("id")).distinct()
+    low = labels.where("quality = 0").select(F.col("doc_id").alias("id")).distinct().join(toxic, "id", "left_anti")
+    counts = cut(counted_each(docs, {"blank-1": None, "alnum-1": None}), "counts")
+    gone, anew = counts.join(toxic, "id", "left_semi"), counts.join(low, "id", "left_semi")
     rollup = TokenRollup(spark, scratch_path(spark, "rollup"))
-    rollup.commit("0001-insert", inserted(counted(marked, "blank-1")))
+    rollup.commit("0001-insert", inserted(of_version(counts, "blank-1")))
     for _ in range(2):
-        rollup.commit("0002-delete", deleted(counted(marked_toxic, "blank-1")))
-    rollup.commit("0003-revise", revised(counted(marked_low, "blank-1"), counted(marked_low, "alnum-1")))
+        rollup.commit("0002-delete", deleted(of_version(gone, "blank-1")))
+    rollup.commit("0003-revise", revised(of_version(anew, "blank-1"), of_version(anew, "alnum-1")))
     rollup.compact()
     return rollup.totals()
 

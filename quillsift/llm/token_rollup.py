@@ -2,11 +2,12 @@
 
 A rollup is additive totals (documents, tokens) by source, language and tokenizer version. Each
 batch adds signed rows: an insert adds a document's counts, a delete takes them back, a revision
-does both. A batch is summed by key before it is written, to a folder named after its id; it
-counts once its _SUCCESS marker is there, which the writer puts last. Committing an id that
-counts is a no-op, so a batch may be sent again after any failure; a batch that failed half way
-does not count and is written over by the next attempt. totals() sums the committed batches;
-compact() folds them into a snapshot that names the batches it holds, so a batch is never
+does both. A batch is summed by key before it is written, to a folder of the attempt, which is
+renamed to the batch's name when it is whole and not if that is there: of two writers of a batch
+one wins, on stores whose rename is atomic; elsewhere a batch must have one writer. Committing
+an id that counts is a no-op, so a batch may be sent again after any failure, and an attempt that
+failed half way never counts. totals() sums the committed batches; compact(), of which one may
+run at a time, folds them into a snapshot that names the batches it holds, so a batch is never
 counted twice. Only batch ids and markers pass through the driver.
 
 Defined results: null sources, languages and versions are keys of their own; a null text has no
@@ -17,13 +18,17 @@ rows count as often as they are sent; an empty batch commits and changes nothing
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ["source", "lang", "tokenizer"]
+#: Bytes of a tokenizer's vocabulary that may be broadcast.
+MAX_VOCABULARY = 1 << 26
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 #: Tokenizer versions that are plain expressions: runs of non-blanks; runs of digits, a-z and characters beyond ASCII.
@@ -33,8 +38,12 @@ EXPRESSIONS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def byte_bpe(path: str, pattern: str) -> Callable[[Column], Column]:
-    """Counts of a byte-level BPE whose ranks (base64 token, rank) are in the file at path; every worker reads them once."""
+def byte_bpe(spark: SparkSession, path: str, pattern: str) -> Callable[[Column], Column]:
+    """Counts of a byte-level BPE whose ranks (base64 token, rank) are in the file at path, in any store that Spark reads; MAX_VOCABULARY bytes at most are broadcast."""
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    if size > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary of {size} bytes is over the {MAX_VOCABULARY} that are broadcast")
+    shared = spark.sparkContext.broadcast([bytes(r[0]) for r in spark.read.format("binaryFile").load(path).select("content").collect()])
     held: dict = {}
 
     @F.pandas_udf("long")
@@ -44,9 +53,8 @@ def byte_bpe(path: str, pattern: str) -> Callable[[Column], Column]:
 
             import tiktoken
 
-            with open(path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            held["t"] = tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            lines = [x.split() for content in shared.value for x in content.splitlines()]
+            held["t"] = tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in lines}, special_tokens={})
         return pd.Series([0 if x is None else len(held["t"].encode_ordinary(x)) for x in texts], dtype="int64")
 
     return count
@@ -59,6 +67,18 @@ def counted(docs: DataFrame, version: str, tokenizer: Callable[[Column], Column]
     return docs.select(F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.lit(version).alias("tokenizer"), F.lit(1).cast("long").alias("n_docs"), F.coalesce(n, F.lit(0)).cast("long").alias("n_tokens"))
 
 
+def counted_each(docs: DataFrame, versions: dict[str, Callable[[Column], Column] | None], text_col: str = "text", source_col: str = "source", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
+    """One row per document: id, source, lang, n (tokens by version); one pass over the texts counts for all later batches."""
+    text = F.col(text_col).cast("string")
+    n = [F.coalesce((tokenizer or EXPRESSIONS[version])(text), F.lit(0)).cast("long").alias(version) for version, tokenizer in versions.items()]
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.struct(*n).alias("n"))
+
+
+def of_version(counts: DataFrame, version: str) -> DataFrame:
+    """The rows of counted_each as counted gives them."""
+    return counts.select("source", "lang", F.lit(version).alias("tokenizer"), F.lit(1).cast("long").alias("n_docs"), F.col(f"n.`{version}`").alias("n_tokens"))
+
+
 def inserted(counts: DataFrame) -> DataFrame:
     return counts.select(*KEYS, "n_docs", "n_tokens")
 
@@ -102,10 +122,26 @@ class TokenRollup:
         folder = f"{self.path}/batches/b-{batch_id}"
         if self._is_committed(folder):
             return False
-        self._sums(deltas).write.mode("overwrite").parquet(folder)
-        p, fs = self._fs(f"{folder}/_SUCCESS")
+        attempt = f"{self.path}/attempts/{batch_id}-{uuid.uuid4().hex}"
+        self._sums(deltas).write.parquet(attempt)
+        p, fs = self._fs(f"{attempt}/_SUCCESS")
         if not fs.exists(p):  # where the writer is set not to mark
             fs.create(p).close()
+        return self._put(attempt, folder)
+
+    def _put(self, attempt: str, folder: str) -> bool:
+        """Renames attempt to folder unless that is there: of two writers of one batch, one wins."""
+        (src, fs), (dst, _) = self._fs(attempt), self._fs(folder)
+        fs.mkdirs(dst.getParent())
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(src).toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            files.rename(fs.makeQualified(src), fs.makeQualified(dst), gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError:
+            if not self._is_committed(folder):
+                raise
+            fs.delete(src, True)
+            return False
         return True
 
     def _sums(self, rows: DataFrame) -> DataFrame:
@@ -124,7 +160,9 @@ class TokenRollup:
         return folders + [f"{self.path}/batches/b-{b}" for b in more], done | set(more)
 
     def totals(self) -> DataFrame:
-        folders, _ = self._held()
+        return self._total(self._held()[0])
+
+    def _total(self, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], SCHEMA)
         return self._sums(self.spark.read.schema(SCHEMA).parquet(*folders))
@@ -135,6 +173,6 @@ class TokenRollup:
         if not folders:
             return
         name = f"s-{len(self._committed('snapshots')):09d}"
-        rows = self.totals()
+        rows = self._total(folders)  # of the batches that the manifest names, and of no later ones
         self.spark.createDataFrame([(b,) for b in sorted(held)], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifests/{name}")
         rows.write.mode("overwrite").parquet(f"{self.path}/snapshots/{name}")

@@ -15,7 +15,7 @@ from quillsift.llm.embedding_dedup import dedup_embeddings, embedding_links, qua
 from quillsift.llm.langid import held_out, identify, keep_identified, learn
 from quillsift.llm.licenses import TEMPLATES, license_matches, template_bigrams
 from quillsift.llm.mixing import entropy, exponent_for, mix_sources, mixing_schedule, repeats, weights
-from quillsift.llm.token_rollup import TokenRollup, byte_bpe, counted, deleted, inserted, revised
+from quillsift.llm.token_rollup import TokenRollup, byte_bpe, counted, counted_each, deleted, inserted, of_version, revised
 from quillsift.llm.warc import chunks, page_records, parse, read_payloads, read_warc, write_warc
 
 
@@ -118,7 +118,7 @@ def test_rollup(spark, tmp_path):
     assert rollup.totals().count() == 0
     assert rollup.commit("1", inserted(one("true"))) and not rollup.commit("1", inserted(one("true")))
     rollup.commit("2", deleted(one("doc_id = 2")))
-    (tmp_path / "r/batches/b-3").mkdir()  # a writer that was lost
+    (tmp_path / "r/attempts/3-lost").mkdir()  # a writer that was lost
     assert rollup.batches() == ["1", "2"]
     rollup.commit("3", revised(one("doc_id = 4"), one("doc_id = 4", "alnum-1")))
     rollup.commit("4", one("false"))
@@ -130,15 +130,49 @@ def test_rollup(spark, tmp_path):
     assert not rollup.commit("2", deleted(one("doc_id = 2"))) and {tuple(r) for r in rollup.totals().collect()} == want - {("x", "en", "blank-1", 1, 2)}
     with pytest.raises(ValueError):
         rollup.commit("../x", one("true"))
+    lost = spark.range(1).selectExpr("'q' as source", "'q' as lang", "'q' as tokenizer", "7L as n_docs", "7L as n_tokens")
+    lost.write.parquet(f"{rollup.path}/attempts/late")
+    assert not rollup._put(f"{rollup.path}/attempts/late", f"{rollup.path}/batches/b-5")  # of two writers one wins
+    assert "q" not in {r["source"] for r in rollup.totals().collect()}
+
+
+def test_counts_of_one_pass(spark):
+    docs = documents(spark, [(1, "a b", "en", "x"), (1, "a b", "en", "x"), (2, None, None, "x"), (3, "", "en", None), (4, "d-e f " * 50_000, "en", "x")]).withColumn("n", F.lit(1)).withColumn("tokenizer", F.lit("t"))
+    both = counted_each(docs, {"blank-1": None, "alnum-1": None})
+    for version in ("blank-1", "alnum-1"):
+        assert sorted(map(repr, of_version(both, version).collect())) == sorted(map(repr, counted(docs, version).collect()))
+
+
+def test_rollup_compacts_what_its_manifest_names(spark, tmp_path, monkeypatch):
+    docs = documents(spark, [(1, "a b", "en", "x"), (2, "c", "en", "x")])
+    rollup = TokenRollup(spark, f"file://{tmp_path}/r")
+    rollup.commit("1", inserted(counted(docs, "blank-1")))
+    held = rollup._held
+    monkeypatch.setattr(rollup, "_held", lambda: (held(), rollup.commit("2", inserted(counted(docs, "blank-1"))))[0])
+    rollup.compact()
+    monkeypatch.undo()
+    assert [tuple(r) for r in rollup.totals().collect()] == [("x", "en", "blank-1", 4, 6)]
 
 
 def test_byte_bpe(spark):
     public = pytest.importorskip("public_tokenizers")
     docs = documents(spark, [(1, "hello world", "en", "x"), (2, None, "en", "x")])
-    rows = counted(docs, "bpe", byte_bpe(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)).collect()
+    rows = counted(docs, "bpe", byte_bpe(spark, public.path("byte_bpe_50k.tiktoken"), public.PATTERN)).collect()
     assert sorted(r["n_tokens"] for r in rows) == [0, 2]
 
 
+def test_warc_of_repeated_pages_and_payloads_of_several_chunks(spark, tmp_path):
+    long = "".join(f"{k} é " for k in range(400_000))
+    pages = [(1, "u", long), (1, "u", long), (2, "u", long), (3, "u", "y" * 100), (3, "v", "z" * 100), (3, "v", None), (4, "u", "z" * 100), (5, "u", "z" * 99), (6, "u", "z" * 99)]
+    got = page_records(spark.createDataFrame(pages, "page_id long, url string, html string"), f"file://{tmp_path}/w").collect()
+    want = []
+    for i, _, html in pages:
+        b = (html or "").encode()
+        first = min(p for p, _, h in pages if h == html) if len(b) >= 100 else i
+        want.append((i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if first < i else "response", first if first < i else None))
+    assert len(long.encode()) > 3 << 20 and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_warc(spark, tmp_path):
     mark = "\r\n\r\nWARC/1.1\r\n"
     pages = [(5, "http://a/b c", "x" * 150), (2, None, "x" * 150), (9, "u", "x" * 150), (3, "u", "short"), (4, "u", "short"), (6, "u", None), (7, "u", ""), (8, "u", f"{mark}{mark}é" * 20), (10, "u", "a\r\n\r\n"), (11, "u", "long é " * 30_000), (12, "u", "W\r\n\r\n" * 60), (None, "u", "x" * 150), (13, "u", "WARC/1.1\r\n" * 9)]
