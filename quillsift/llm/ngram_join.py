@@ -1,23 +1,27 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-A document is its set of word shingles (64-bit hashes). All sets share one order of tokens:
-rare tokens first, then the frequent class by rising count. A set's prefix is extended until
-it cannot lose all its signatures: with t tokens that a partner may lack, the prefix ends
-when  rare tokens + sum over buckets of (frequent tokens in the bucket - 1)  exceeds t. Its
-signatures are its single rare tokens and, for the frequent class, the 2-token combinations
-within a bucket. Of two linked sets, take the one whose prefix ends first: it loses at most t
-tokens, so one rare token or two frequent ones of a bucket are left, and the other's prefix
-holds them too. Buckets (about one per eight tokens of the set) keep the number of
+A document is its set of word shingles (64-bit hashes). All sets share one order of tokens, by
+rising count: every token is counted, over all documents, in one of COUNTERS counters that its
+hash picks, so the order and the class of a token (frequent from a count on) are the same however
+the rows lie, and the table that all tasks hold has the same size for any corpus. A counter that
+rare tokens share with a frequent one makes them frequent too; order and classes decide on speed
+only. A set's prefix is extended until it cannot lose all its signatures: with t tokens that a
+partner may lack, the prefix ends when  rare tokens + sum over buckets of (frequent tokens in the
+bucket - 1)  exceeds t. Its signatures are its single rare tokens and, for the frequent class, the
+2-token combinations within a bucket. Of two linked sets, take the one whose prefix ends first: it
+loses at most t tokens, so one rare token or two frequent ones of a bucket are left, and the
+other's prefix holds them too. Buckets (about one per eight tokens of the set) keep the number of
 combinations in proportion to the prefix; sets near a power of two emit for both bucketings.
 
-Candidates are verified on whole sets with integer arithmetic; before that, pairs whose prefixes
-have too few signatures in common for the threshold are dropped. Equal sets are one class from
-the start, so copies cost one signature set. Within a signature's group only star and chain
-pairs are verified first; pairs of classes that components already join are never made, and
-whatever pairs are left between components are then verified one by one, so no link between
-components is lost. Groups of a combination with more than FEW members are near copies of each
-other; there, sets are compared by their differences from one member, the hub (see `_prefixes`),
-so that only sets which changed in the same places meet.
+Equal sets are one class (128-bit hash) from the start, so copies cost one signature set. The
+classes that share a signature are a group; groups are counted exactly by a shuffle. In a group of
+FEW classes or less all pairs are candidates; those whose prefixes have too few signatures in common
+are dropped and the others are verified on whole sets with integer arithmetic. A larger group is a
+common token or near copies of each other. All its members are verified against one, the hub, and
+then a signature is lengthened by a token: members stay together only if they share one of the
+rarest tokens in which they differ from the hub (see `_spokes`). These smaller groups are handled
+alike, LENGTHS times. Of what is left then, as of all groups of differences, only those pairs are
+made for which the common token can be the first of enough common ones.
 
 The threshold must be above 1/2: linked sizes then span two bucketings at most, and a set of
 one token links with its equals only. Others are refused.
@@ -28,85 +32,116 @@ a row without id gets its set size and no component; an empty table gives an emp
 
 from __future__ import annotations
 
-import math
+import zlib
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm.common import U, arrow_rows, cut, discard, fresh, mixed, shingle_set, signed, text_bytes
 from quillsift.llm.components import connected_components
 
-#: Most entries of the frequent class that is broadcast (16 bytes each, 64 MB at most): a token is frequent from
-#: max(MIN_COUNT, all shingles / MAX_FREQUENT) sets on, so no corpus can have more of them.
-MAX_FREQUENT, MIN_COUNT = 1 << 22, 12
-#: Tokens that one task counts at a time.
-COUNTED = 4_000_000
-#: Parts that a frequent signature's group is dealt to.
-SALTS = 32
-#: Members of a combination's group up to which all its pairs are made; in larger ones, those that differ from a hub alike.
+#: Counters of tokens (one byte each in the table that tasks hold) and the slices in which they are added up.
+COUNTERS, SLICES = 1 << 22, 1024
+#: A token is frequent if its counter is over this many times the mean and LEAST more.
+TIMES, LEAST = 2, 12
+#: Tokens that a task holds before it counts them.
+COUNTED = 500_000
+#: Classes of a group up to which all its pairs are made; where only some pairs count, twice the pairs for every row.
 FEW = 16
-#: Class ids that may be broadcast to pick rows of a larger table (8 bytes each); beyond that both sides are shuffled.
+#: How often the groups beyond FEW are parted by another token.
+LENGTHS = 3
+#: Ids that may be broadcast to pick rows of a larger table (24 bytes each); beyond that both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 
 
-def _local_counts(docs: DataFrame, k: int) -> DataFrame:
-    """(h, c): counts of tokens that one task saw in two sets or more; h null: all tokens of the task."""
+def level(counts: np.ndarray) -> np.ndarray:
+    """Quarters of the logarithm to base 2, a byte."""
+    return (4 * np.log2(1.0 + counts)).astype(np.uint8)
+
+
+class Ranks:
+    """The order of tokens: by level of their counter, then by hash; frequent from level `often` on."""
+
+    def __init__(self, levels: np.ndarray, often: int):
+        self.levels, self.often = levels, often
+
+    def of(self, u: np.ndarray) -> np.ndarray:
+        return self.levels[(u >> U(20)) % U(len(self.levels))]
+
+    def sort(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens from the rarest on, and their levels."""
+        rank = self.of(u)
+        by = np.lexsort((u, rank))
+        return u[by], rank[by]
+
+
+def _counters(docs: DataFrame, k: int) -> DataFrame:
+    """(part, counts): for each task and slice of the counters, what the task saw, compressed; the slice of no part."""
 
     def run(batches):
-        import pyarrow as pa
+        total, held, n = np.zeros(COUNTERS, np.uint32), [], 0
 
-        def out(held):
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            more = c > 1
-            h, c = signed(h[more]), c[more].astype(np.int64)
-            total = int(sum(map(len, held)))
-            return pa.RecordBatch.from_arrays([pa.array([*h.tolist(), None], pa.int64()), pa.array([*c.tolist(), total], pa.int64())], names=["h", "c"])
+        def count(held):
+            at = (np.concatenate(held) >> U(20)) % U(COUNTERS)
+            np.add(total, np.bincount(at.astype(np.int64), minlength=COUNTERS).astype(np.uint32), out=total)
 
-        held, n = [], 0
         for b in batches:
-            for text in b.column(0).to_pylist():
-                if len(u := shingle_set(text, k)):
-                    held.append(u)
-                    n += len(u)
+            for text in b.column(0):
+                held.append(shingle_set(text.as_py(), k))
+                n += len(held[-1])
                 if n >= COUNTED:
-                    yield out(held)
+                    count(held)
                     held, n = [], 0
-        if held:
-            yield out(held)
+        if n:
+            count(held)
+        if total.any():
+            parts = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in total.reshape(SLICES, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
 
-    return docs.select("text").mapInArrow(run, "h long, c long")
+    return docs.select("text").mapInArrow(run, "part int, counts binary")
 
 
-def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the frequent class, sorted by hash; at most MAX_FREQUENT."""
-    counts = cut(_local_counts(docs, k).groupBy("h").agg(F.sum("c").alias("c")), "counts")
-    total = counts.where("h is null").agg(F.sum("c")).first()[0] or 0
-    least = max(MIN_COUNT, math.ceil(total / MAX_FREQUENT))
-    got = counts.where(F.col("h").isNotNull() & (F.col("c") >= least)).toPandas()
-    h, c = got["h"].to_numpy(np.int64).view(U), got["c"].to_numpy(np.int64)
-    by = np.argsort(h)
-    return h[by], c[by]
+def _ranks(docs: DataFrame, k: int) -> Ranks:
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = np.frombuffer(zlib.decompress(counts.as_py()), "<u4")
+                if part in sums:
+                    sums[part] += x
+                else:
+                    sums[part] = x.astype(np.int64)
+        if sums:
+            levels = [level(x).tobytes() for x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(levels, pa.binary()), pa.array([int(x.sum()) for x in sums.values()], pa.int64())], names=["part", "levels", "total"])
+
+    got = _counters(docs, k).repartition("part").mapInArrow(add, "part int, levels binary, total long").collect()
+    levels = np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
+    for r in got:
+        levels[r["part"]] = np.frombuffer(r["levels"], np.uint8)
+    mean = sum(r["total"] for r in got) / COUNTERS
+    return Ranks(levels.reshape(-1), int(level(np.array(TIMES * mean + LEAST))))
 
 
 def buckets(n: int) -> int:
     return max(1, (1 << (n.bit_length() - 1)) >> 3)
 
 
-def signatures(u: np.ndarray, fh: np.ndarray, fc: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
-    """Signatures of the sorted set u, single tokens with lowest bit 0, combinations 1; and the tokens beyond the prefix, or -1 less all frequent tokens if some are in it."""
+def signatures(u: np.ndarray, ranks: Ranks, num: int, den: int) -> tuple[np.ndarray, int]:
+    """Signatures of the set u, single tokens with lowest bit 0, combinations 1; and the tokens beyond the prefix, or -1 less all frequent tokens if some are in it."""
     n = len(u)
     need = n - -(-num * n // den) + 1
     if n < 2:
-        return u & ~U(1), -1
-    at = np.minimum(np.searchsorted(fh, u), max(len(fh) - 1, 0))
-    often = fh[at] == u if len(fh) else np.zeros(n, bool)
-    rare = u[~often]
+        return mixed(u) & ~U(1), -1
+    u, rank = ranks.sort(u)
+    rare = u[rank < ranks.often]
     if len(rare) >= need:
         return np.unique(mixed(rare[:need]) & ~U(1)), n - need
-    tokens, count = u[often], fc[at[often]]
-    tokens = tokens[np.lexsort((tokens, count))]
+    tokens = u[len(rare) :]
     out, sizes = [mixed(rare) & ~U(1)], {buckets(n), buckets(max(1, -(-num * n // den)))}
     for b in sizes:
         bucket = (mixed(tokens) >> U(8)) % U(b)
@@ -127,87 +162,56 @@ def signatures(u: np.ndarray, fh: np.ndarray, fc: np.ndarray, num: int, den: int
     return np.unique(np.concatenate(out)), -1 - len(tokens)
 
 
-def set_class(u: np.ndarray) -> int | None:
-    """The class of sets equal to u; None for the empty set."""
-    f = xxhash.xxh3_64_intdigest(u.tobytes())
-    return f - ((f >> 63) << 64) if len(u) else None
+def set_class(u: np.ndarray) -> tuple[int, int] | tuple[None, None]:
+    """The class of sets equal to u, a 128-bit hash in two signed halves; nulls for the empty set."""
+    if not len(u):
+        return None, None
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(u.tobytes()), np.int64).tolist())
 
 
-def _signed_docs(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(id, h, n, f, beyond, sigs): hash of the text, set size, class of equal sets (null without words), tokens beyond the prefix, signatures."""
-    fh, fc = _frequent(docs, k)
-    shared = docs.sparkSession.sparkContext.broadcast((fh, fc))
+def _signed_docs(docs: DataFrame, k: int, num: int, den: int, shared) -> DataFrame:
+    """(id, h, n, f, g, beyond, sigs): hash of the text, set size, class of equal sets (null without words), tokens beyond the prefix, signatures."""
 
     def make(cols):
-        fh, fc = shared.value
+        ranks = shared.value
         for doc, h, text in zip(*cols, strict=True):
             u = shingle_set(text, k)
-            sigs, beyond = signatures(u, fh, fc, num, den) if len(u) else (None, -1)
-            yield [doc], [h], [len(u)], [set_class(u)], [beyond], [signed(sigs) if len(u) else None]
+            sigs, beyond = signatures(u, ranks, num, den) if len(u) else (None, -1)
+            f, g = set_class(u)
+            yield [doc], [h], [len(u)], [f], [g], [beyond], [signed(sigs) if len(u) else None]
 
-    return arrow_rows(docs, "id long, h long, n long, f long, beyond long, sigs array<long>", make, flush=2_000)
+    return arrow_rows(docs, "id long, h long, n long, f long, g long, beyond long, sigs array<long>", make, flush=2_000)
 
 
-def _close(num: int, den: int):
+def _close(num: int, den: int) -> Column:
     """Two set sizes that may be linked."""
     a, b = F.col("n"), F.col("n2")
     return F.greatest(a, b) * num <= F.least(a, b) * den
 
 
-def _counted(df: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, common, bound): rows (sig, n, f, beyond, n2, f2, beyond2) by pair; linked sets have at least bound single tokens in common here.
+def _pairs(rows: DataFrame, num: int, den: int, more: Column) -> DataFrame:
+    """Pairs of members of one group that are in two components and may be linked; more is asked of a pair, whose second member's columns end in 2."""
+    both = rows.join(rows.select("sig", *[F.col(c).alias(c + "2") for c in rows.columns if c != "sig"]), "sig")
+    return both.where((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & _close(num, den) & more)
+
+
+def _prefix_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs that have the single tokens in common that linked sets must have.
 
     All common tokens up to the end of the prefix that ends first show as signatures if they are
-    rare. Beyond it the overlap cannot grow by more than that set has left; and where both prefixes
+    rare. Beyond it the overlap cannot grow by more than that set has left; where both prefixes
     reach the frequent class, so that all rare tokens are in them, not by more than the frequent
-    tokens of either set.
+    tokens of either set; and by the tokens whose groups are too large to be here, `hot` of a set.
     """
     b, b2 = F.col("beyond"), F.col("beyond2")
-    rest = F.when((b < 0) & (b2 < 0), -1 - F.greatest(b, b2)).otherwise(F.greatest(b, b2))
+    rest = F.when((b < 0) & (b2 < 0), -1 - F.greatest(b, b2)).otherwise(F.greatest(b, b2)) + F.least("hot", "hot2")
     bound = F.ceil((F.col("n") + F.col("n2")) * num / (num + den)) - rest
-    df = df.where(_close(num, den)).select(F.least("f", "f2").alias("a"), F.greatest("f", "f2").alias("b"), (1 - F.expr("sig & 1")).alias("single"), bound.alias("bound"))
-    return df.groupBy("a", "b").agg(F.sum("single").alias("common"), F.first("bound").alias("bound"))
-
-
-_SIDE = ["n", "f", "beyond"]
-
-
-def _second(*more: str) -> list:
-    return [F.col(c).alias(c + "2") for c in (*_SIDE, *more)]
-
-
-def _star(rows: DataFrame, num: int, den: int, seed: int) -> DataFrame:
-    """Pairs of each group's members with its pivot (at first the one with the fewest rare tokens, then any of 16), and of neighbouring pivots, that meet in half of what they must have in common.
-
-    This only finds components early; rows: (sig, n, f, beyond, comp).
-    """
-    rows = rows.withColumn("salt", F.when(F.expr("sig & 1 = 1"), F.pmod("f", F.lit(SALTS))).otherwise(0))
-    rows = rows.withColumn("cls", F.floor(F.log("n") / math.log(den / num)))
-    rare = F.when(F.col("beyond") < 0, F.col("n") + F.col("beyond") + 1).otherwise(F.col("n"))
-    rank = F.struct(F.xxhash64("f", F.expr("shiftright(sig, 1) & 15"), F.lit(seed)) if seed else rare, F.col("f").alias("by"))
-    rows = rows.withColumn("p", F.struct(rank.alias("r"), *_SIDE, "comp"))
-    part = rows.withColumn("m", F.min("p").over(Window.partitionBy("sig", "cls", "salt")))
-    inner = part.where("comp <> m.comp").select("sig", *_SIDE, *[F.col("m." + c).alias(c + "2") for c in _SIDE])
-    before = Window.partitionBy("sig").orderBy("cls", "salt")
-    chain = part.where("f = m.f").withColumn("q", F.lag("p").over(before)).where("comp <> q.comp")
-    chain = chain.select("sig", *_SIDE, *[F.col("q." + c).alias(c + "2") for c in _SIDE])
-    return _counted(inner.unionByName(chain), num, den).where("2 * common >= bound").select("a", "b")
-
-
-def _all_pairs_left(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Every pair of classes that share a signature, are in two components and may be linked."""
-    pairs = rows.join(rows.select("sig", *_second("comp")), "sig").where("f < f2 and comp <> comp2")
-    return _counted(pairs, num, den).where("common >= bound").select("a", "b")
-
-
-def _hubs(rows: DataFrame) -> DataFrame:
-    """(sig, hub): of combinations with more than FEW members, the member with the smallest hash, so that like groups have the same."""
-    by = F.struct(F.xxhash64("f").alias("r"), F.col("f").alias("hub"))
-    return rows.where("sig & 1 = 1").groupBy("sig").agg(F.count("*").alias("many"), F.min(by).alias("m")).where(F.col("many") > FEW).select("sig", "m.hub")
+    found = _pairs(rows, num, den, F.lit(True)).select(F.col("node").alias("a"), F.col("node2").alias("b"), (1 - F.expr("sig & 1")).alias("single"), bound.alias("bound"))
+    return found.groupBy("a", "b").agg(F.sum("single").alias("common"), F.max("bound").alias("bound")).where("common >= bound").select("a", "b")
 
 
-def _prefixes(spokes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(hub, f, comp, n, d, linked, short, full): the tokens d in which f differs from its hub, whether they link, and how many of d to compare.
+def _spokes(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(hub, node, off, n, d, linked, short, full): the tokens d in which node differs from its hub, rarest first, whether they link, and how many of d to compare.
 
     Let Dx be the tokens in which x and the hub p differ and r = (den - num) / (den + num): x and y
     link if |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy| <= r (|x| + |y|). Of a link between components at
@@ -215,140 +219,150 @@ def _prefixes(spokes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     (|Dy| + r (|p| - |y|)) / 2: the first `short` tokens of Dy have one of Dx. The same holds for x
     if y is not linked to p either; if y is, |Dx & Dy| <= |Dy| still gives
     |Dx & Dy| >= |Dx| - r (|x| + |y|) >= |Dx| - |x| (den - num) / num, and at least one token.
+    All D of a hub have one order: tokens that the hub lacks, rarest first, then those that it has.
     """
-    one, hub = sets.select("f", F.col("s").alias("x")), sets.select(F.col("f").alias("hub"), F.col("s").alias("y"))
-    both = spokes.join(one, "f").join(hub, "hub")
+    one, hub = sets.select(F.col("f").alias("node"), F.col("s").alias("x")), sets.select(F.col("f").alias("hub"), F.col("s").alias("y"))
+    both = rows.join(one, "node").join(hub, "hub")
     diff = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
-    both = both.select("hub", "f", "comp", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), diff.alias("d")).withColumn("k", F.size("d").cast("long"))
+    both = both.select("hub", "node", "off", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), diff.alias("d")).withColumn("k", F.size("d").cast("long"))
     linked = F.col("k") * (num + den) <= (F.col("n") + F.col("m")) * (den - num)
     short = F.col("k") - F.floor((F.col("k") * (num + den) + (F.col("m") - F.col("n")) * (den - num)) / (2 * (num + den)))
     full = F.col("k") + 1 - F.greatest(F.lit(1), F.ceil((F.col("k") * num - F.col("n") * (den - num)) / num))
     both = both.withColumns({"linked": linked, "short": short}).withColumn("full", F.when(F.col("linked"), F.col("short")).otherwise(F.greatest(full, "short")))
-    return both.select("hub", "f", "comp", "n", "d", "linked", "short", "full")
+    return both.select("hub", "node", "off", "n", "d", "linked", "short", "full")
 
 
-def _alike(spokes: DataFrame) -> DataFrame:
-    """(a, b, hub): classes of two components that share a token of their prefixes from the same hub, one of them not linked to it."""
-    tokens = F.slice("d", F.lit(1), F.col("full").cast("int"))
-    keys = spokes.select("hub", "f", "comp", "linked", "short", F.posexplode(tokens).alias("at", "token"))
-    brief = keys.where("at < short").select("hub", "token", *[F.col(c).alias(c + "2") for c in ("f", "comp", "linked")])
-    pairs = keys.where("not linked").join(brief, ["hub", "token"]).where("comp <> comp2 and (linked2 or (at < short and f < f2))")
-    return pairs.groupBy(F.least("f", "f2").alias("a"), F.greatest("f", "f2").alias("b")).agg(F.min("hub").alias("hub"))
+def _longer(spokes: DataFrame) -> DataFrame:
+    """(sig, node, off, n, k, at, role): the groups of the members of a hub that share a token of their prefixes, at place `at` of the k in which the member differs.
 
-
-def _alike_verified(pairs: DataFrame, spokes: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, ok): whether a and b link, from their differences to a hub alone (see `_prefixes`): whole sets are not moved again."""
-    left = spokes.select("hub", F.col("f").alias("a"), "n", F.col("d").alias("x"))
-    right = spokes.select("hub", F.col("f").alias("b"), F.col("n").alias("n2"), F.col("d").alias("y"))
-    apart = F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y"))
-    both = pairs.join(left, ["hub", "a"]).join(right, ["hub", "b"])
-    return both.select("a", "b", (apart * (num + den) <= (F.col("n") + F.col("n2")) * (den - num)).alias("ok"))
-
-
-def _picked(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of df whose key is in ids, without a shuffle of df where ids are few."""
-    return df.join(_bounded(ids), key, how)
+    Role a: not linked to the hub, token among the first `short`; b: linked; c: not linked, another token. Only a with a, and b with a or c, may be new links.
+    """
+    tokens = F.slice("d", F.lit(1), F.greatest("full", F.lit(0)).cast("int"))
+    rows = spokes.select("hub", "node", "off", "n", F.size("d").cast("long").alias("k"), "linked", "short", F.posexplode(tokens).alias("at", "token"))
+    role = F.when(F.col("linked"), "b").when(F.col("at") < F.col("short"), "a").otherwise("c")
+    return rows.select(F.xxhash64("hub", "token").alias("sig"), "node", "off", "n", "k", "at", role.alias("role"))
 
 
-def _bounded(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _token_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs for which a common token can be the first of as many as linked sets must have in common of what they differ in from their hub."""
+    roles = F.concat("role", "role2").isin("aa", "ab", "ba", "bc", "cb")
+    left = F.least(F.col("k") - F.col("at"), F.col("k2") - F.col("at2"))
+    enough = (F.col("k") + F.col("k2") - 2 * left) * (num + den) <= (F.col("n") + F.col("n2")) * (den - num)
+    return _pairs(rows, num, den, roles & enough).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, ok): whether the two whole sets reach num/den."""
+    """(a, b): the pairs whose whole sets reach num/den."""
     left = sets.select(F.col("f").alias("a"), F.col("s").alias("x"))
     right = sets.select(F.col("f").alias("b"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (both * den >= (F.size("x") + F.size("y") - both) * num).alias("ok"))
+    return pairs.join(left, "a").join(right, "b").where(both * den >= (F.size("x") + F.size("y") - both) * num).select("a", "b")
 
 
-def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    rows = rows.select("sig", *_SIDE)
-    return rows.join(comps, rows.f == comps.node, "left").select("sig", *_SIDE, F.coalesce("component", "f").alias("comp"))
+def _bounded(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """rows with comp, the component of their node."""
+    if comps is None:
+        return rows.withColumn("comp", F.col("node"))
+    comps = comps.select(F.col("node").alias("node0"), "component")
+    return rows.join(comps, F.col("node") == F.col("node0"), "left").withColumn("comp", F.coalesce("component", "node")).drop("node0", "component")
 
 
 def _unsettled(rows: DataFrame) -> DataFrame:
-    """Only signatures whose members are still in two components or more."""
-    more = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-    return rows.join(more, "sig", "left_semi")
+    """The rows of groups that may hold a link between two components; c: twice the pairs to be looked at for every row."""
+    a, b, c = (F.count_if(F.col("role") == x) for x in "abc")
+    more = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), (a * (a - 1) + 2 * (a + c) * b).alias("pairs"), F.count("*").alias("rows"))
+    return rows.join(more.where("lo <> hi and pairs > 0").select("sig", (F.col("pairs") / F.col("rows")).alias("c")), "sig")
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", stars: int = 2) -> DataFrame:
+def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (smallest id reachable by links of Jaccard num/den or more)."""
-    return _grouped(docs, k, num, den, id_col, text_col, stars, F.lit(None).cast("long")).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+    return _grouped(docs, k, num, den, id_col, text_col, F.lit(None).cast("long")).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
 
+def _links(shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame | None:
+    """Components of the linked classes, (node, component); None without any. shared: (sig, node, n, beyond, off, c, comp), the groups of c classes, two or more.
 
-def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, stars: int, key: Column) -> DataFrame:
-    """One row per row of docs: id, h (key, which tells the texts of one id apart), n_shingles, component_id."""
+    The hub is the member with the least `off`: with g rare tokens that common ones of the group replaced and l lost, a near
+    copy of m tokens has g + l - m = 2 g - n, so that the least is the nearest to what the group has in common.
+    """
+    edges = comps = None
+    rows = shared
+    for k in range(LENGTHS + 1):
+        if k:
+            rows = cut(_unsettled(_labelled(rows, comps)), "rows")
+            if rows.isEmpty():
+                break
+        small, large = rows.where(F.col("c") <= FEW), rows.where(F.col("c") > FEW)
+        if not k:
+            hot = large.where("sig & 1 = 0").groupBy(F.col("node").alias("node0")).agg(F.count("*").alias("hot"))
+            small = small.join(hot, F.col("node") == F.col("node0"), "left").drop("node0").withColumn("hot", F.coalesce("hot", F.lit(0)))
+        pairs = cut(_token_pairs(rows if k == LENGTHS else small, num, den) if k else _prefix_pairs(small, num, den), "pairs")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("f"))
+        if k < LENGTHS:
+            hub = F.min(F.struct("off", F.xxhash64("node").alias("r"), "node"))["node"]
+            spokes = large.join(large.groupBy("sig").agg(hub.alias("hub")), "sig").where("node <> hub").select("hub", "node", "off").distinct()
+            spokes = cut(spokes, "spokes")
+            ids = ids.union(spokes.select(F.explode(F.array("hub", "node"))))
+        sets = sets_of(ids)
+        found = _verified(pairs, sets, num, den)
+        if k < LENGTHS:
+            spokes = cut(_spokes(spokes, sets, num, den), "spokes")
+            found = found.union(spokes.where("linked").select("hub", "node"))
+        found = cut(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        discard(sets)
+        if not found.isEmpty():
+            edges = found if edges is None else edges.union(found)
+            comps = cut(connected_components(edges), "comps")
+        if k < LENGTHS:
+            rows = _longer(spokes).distinct()
+    return comps
+
+
+def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, key: Column) -> DataFrame:
+    """One row per row of docs: id, h (key, which tells the texts of one id apart), n_shingles, component_id.
+
+    A class of equal sets is the node (its smallest id, half of its hash).
+    """
     if not den < 2 * num <= 2 * den:
         raise ValueError(f"the threshold must be above 1/2 and at most 1, not {num}/{den}: below, linked sets may share no signature")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("h"), text_bytes(text_col).alias("text"))
-    signed_docs = cut(_signed_docs(docs, k, num, den), "signed")
-    member = signed_docs.select("id", "h", "n", "f")
+    order = docs.sparkSession.sparkContext.broadcast(_ranks(docs, k))
+    signed_docs = cut(_signed_docs(docs, k, num, den, order), "signed")
+    member = signed_docs.select("id", "h", "n", "f", "g")
     usable = signed_docs.where("id is not null and f is not null")
-    classes = usable.groupBy("f").agg(F.first("n").alias("n"), F.first("beyond").alias("beyond"), F.first("sigs").alias("sigs"))
-    rows = classes.select(F.explode("sigs").alias("sig"), *_SIDE)
-    group = Window.partitionBy("sig")
-    shared = cut(rows.withColumn("many", F.min("f").over(group) != F.max("f").over(group)).where("many").drop("many"), "shared")
-    reps = cut(usable.groupBy("f").agg(F.min("id").alias("rep")), "reps")
+    classes = usable.groupBy("f", "g").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("beyond").alias("beyond"), F.first("sigs").alias("sigs"))
+    classes = cut(classes, "classes")
+    index = classes.select(F.explode("sigs").alias("sig"), "id")
+    common = index.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
+    rare = F.when(F.col("beyond") < 0, F.col("n") + F.col("beyond") + 1).otherwise(F.col("n"))
+    about = classes.select("id", F.struct("id", "f").alias("node"), "n", "beyond", (2 * rare - F.col("n")).alias("off"))
+    shared = cut(index.join(common, "sig").join(about, "id").select("sig", "node", "n", "beyond", "off", "c", F.col("node").alias("comp")), "shared")
 
     def make(cols):
-        for f, text in zip(*cols, strict=True):
+        ranks = order.value
+        for doc, f, text in zip(*cols, strict=True):
             u = shingle_set(text, k)
-            if set_class(u) == f:
-                yield [f], [signed(u)]
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = cut(ids.distinct().join(reps, "f").select("f", F.col("rep").alias("id")), "wanted")
-        return cut(arrow_rows(_picked(docs, "id", wanted, "inner").select("f", "text"), "f long, s array<long>", make, flush=2_000), "sets")
-
-    edges = tried = docs.sparkSession.createDataFrame([], "a long, b long")
-    comps = docs.sparkSession.createDataFrame([], "node long, component long")
-
-    def joined(new: DataFrame) -> DataFrame:
-        nonlocal edges
-        if new.isEmpty():
-            return comps
-        edges = edges.union(new)
-        return cut(connected_components(edges), "comps")
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        nonlocal tried
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.union(pairs)
-        if pairs.isEmpty():
-            return comps
-        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("f")))
-        new = cut(_verified(pairs, sets, num, den).where("ok").select("a", "b"), "new")
-        discard(sets)
-        return joined(new)
-
-    for seed in range(stars):
-        comps = compared(_star(_unsettled(_labelled(shared, comps)), num, den, seed))
-    rows = _unsettled(_labelled(shared, comps))
-    hubs = cut(_hubs(rows), "hubs")
-    hot = cut(rows.join(_bounded(hubs), "sig").where("f <> hub").select("hub", "f", "comp").distinct(), "hot")
-    if not hot.isEmpty():
-        sets = sets_of(hot.select(F.explode(F.array("hub", "f")).alias("f")))
-        spokes = cut(_prefixes(hot, sets, num, den), "spokes")
-        discard(sets)
-        comps = joined(spokes.where("linked").select(F.least("f", "hub").alias("a"), F.greatest("f", "hub").alias("b")).distinct())
-        spokes = spokes.drop("comp").join(comps, spokes.f == comps.node, "left").withColumn("comp", F.coalesce("component", "f")).drop("node", "component")
-        pairs = cut(_alike(spokes).join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.union(pairs.select("a", "b"))
-        comps = joined(cut(_alike_verified(pairs, spokes, num, den).where("ok").select("a", "b"), "new"))
-    rows = _unsettled(_labelled(shared, comps).join(_bounded(hubs.select("sig")), "sig", "left_anti"))
-    comps = compared(_all_pairs_left(rows, num, den))
-    home = reps.join(comps, reps.f == comps.node, "left").select("f", "rep", F.coalesce("component", "f").alias("comp"))
-    least = home.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    home = home.join(least, "comp").select(F.col("f").alias("f2"), "component_id")
-    out = member.join(home, member.f == home.f2, "left")
+            if set_class(u)[0] == f:
+                yield [{"id": doc, "f": f}], [signed(ranks.sort(u)[0])]
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = cut(nodes.distinct().select("f.id", "f.f"), "wanted")
+        return cut(arrow_rows(docs.join(_bounded(wanted), "id").select("id", "f", "text"), "f struct<id:long,f:long>, s array<long>", make, flush=2_000), "sets")
+
+    comps = _links(shared, sets_of, num, den)
+    home = classes.select("f", "g", F.struct("id", "f").alias("node"))
+    home = _labelled(home, comps).select(F.col("f").alias("f2"), F.col("g").alias("g2"), F.col("comp.id").alias("component_id"))
+    out = member.join(home, (member.f == home.f2) & (member.g == home.g2), "left")
     return out.select("id", "h", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def dedup_ngrams(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those that a document with a smaller id stands for; rows without id stay, and the texts of one id are judged each by itself."""
     p, key = fresh(docs), F.xxhash64(F.col(text_col).cast("string"))
-    found = _grouped(docs, k, num, den, id_col, text_col, 2, key)
+    found = _grouped(docs, k, num, den, id_col, text_col, key)
     gone = found.where("id <> component_id").select(F.col("id").alias(p + "id"), F.col("h").alias(p + "h")).distinct()
     return docs.join(gone, (F.col(id_col).cast("long") == F.col(p + "id")) & (key == F.col(p + "h")), "left_anti")

@@ -34,13 +34,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillsift.llm.common import arrow_rows, cut
 
 CHUNK, MIN_REVISIT, MAX_RECORDS = 1 << 20, 100, 50_000
+#: Bits of the map of rows that are not plain responses, 8 MB for any number of rows, and those of one of its rows.
+BITS, PAGE = 1 << 26, 1 << 15
 START, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 _ID = "urn:quillsift:record:"
 _DATE = "2024-01-01T00:00:00Z"
@@ -121,18 +124,59 @@ def _segment(key: str, k: int, part: bytes, running: str, common: list, last: bo
     return _header("response" if not k else "continuation", len(part), fields) + part
 
 
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("id", "digest"), F.lit(BITS))
+
+
+def _marked(special: DataFrame) -> DataFrame:
+    """(page, bits): a map of BITS bits in which those of special's (id, digest) are set."""
+
+    def run(batches):
+        bits: dict[int, np.ndarray] = {}
+        for b in batches:
+            for slot in b.column(0).to_pylist():
+                bits.setdefault(slot // PAGE, np.zeros(PAGE, bool))[slot % PAGE] = True
+        if bits:
+            maps = [np.packbits(x, bitorder="little").tobytes() for x in bits.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(bits, pa.int64()), pa.array(maps, pa.binary())], names=["page", "bits"])
+
+    slots = special.select(_slot().alias("slot"))
+    return cut(slots.repartition(F.expr(f"slot div {PAGE}")).mapInArrow(run, "page long, bits binary"), "marked")
+
+
+def _parted(rows: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, digest, ...) that are not marked, and those that are or share a bit of one that is."""
+    found = rows.withColumn("slot", _slot()).withColumn("page", F.expr(f"slot div {PAGE}")).join(F.broadcast(marked), "page", "left")
+    byte = F.conv(F.hex(F.expr(f"substring(bits, cast((slot % {PAGE}) div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(slot % 8 as int))")) != 0, F.lit(False))
+    found = found.withColumn("hit", hit).drop("slot", "page", "bits")
+    return found.where("not hit").drop("hit"), found.where("hit").drop("hit")
+
+
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url", chunk: int = CHUNK, max_records: int = MAX_RECORDS) -> None:
-    """Writes the pages as archives in the folder path; mode overwrite."""
-    types = cut(record_types(cut(payload_table(pages, id_col, payload_col), "payloads")), "types")
+    """Writes the pages as archives in the folder path; mode overwrite.
+
+    Types are found from ids and digests. Payloads are written where they are read, but for those of revisits and of
+    repeated ids, which are joined with what they are; a map of bits of fixed size tells which these are, and a row
+    that shares its bit with one of them is only joined for nothing.
+    """
+    types = record_types(cut(payload_table(pages, id_col, payload_col), "payloads"))
+    special = cut(types.where("times > 1 or start > 0 or refers_to is not null"), "types")
     url = F.col(url_col).cast("string") if url_col in pages.columns else F.lit(None).cast("string")
     base = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), url.alias("url"), F.col(payload_col).cast("binary").alias("html"))
-    rows = base.withColumn("digest", F.sha2(F.coalesce("html", F.lit(b"")), 256)).join(types, ["id", "digest"])
+    html = F.coalesce("html", F.lit(b""))
+    base = base.withColumn("digest", F.sha2(html, 256)).withColumn("n_bytes", F.octet_length(html).cast("long"))
+    plain, rest = _parted(base, _marked(special))
+    none = F.lit(None).cast("long")
+    plain = plain.select("id", F.lit(0).cast("long").alias("copy"), "url", "html", "n_bytes", "digest", none.alias("refers_to"), none.alias("refers_copy"))
+    rows = rest.join(special.drop("n_bytes"), ["id", "digest"], "left")
+    rows = rows.withColumns({"times": F.coalesce("times", F.lit(1)), "start": F.coalesce("start", F.lit(0))})
     rows = rows.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
     numbered = rows.where("times = 1").withColumn("copy", F.col("start"))
-    if not types.where("times > 1").isEmpty():  # only equal payloads of one id must be counted row by row
+    if not special.where("times > 1").isEmpty():  # only equal payloads of one id must be counted row by row
         order = Window.partitionBy("id", "digest").orderBy("url")
         numbered = numbered.union(rows.where("times > 1").withColumn("copy", F.col("start") + F.row_number().over(order) - 1))
-    base = numbered.select("id", "copy", "url", "html", "n_bytes", "digest", "refers_to", "refers_copy")
+    base = plain.union(numbered.select("id", "copy", "url", "html", "n_bytes", "digest", "refers_to", "refers_copy"))
 
     def run(batches):
         for b in batches:
