@@ -46,8 +46,8 @@ from quillsift.llm.components import connected_components
 
 #: Counters of tokens (one byte each in the table that tasks hold) and the slices in which they are added up.
 COUNTERS, SLICES = 1 << 22, 1024
-#: A token is frequent if its counter is over this many times the mean and LEAST more.
-TIMES, LEAST = 2, 12
+#: A token is frequent if its counter is LEAST or more over the mean.
+LEAST = 12
 #: Tokens that a task holds before it counts them.
 COUNTED = 500_000
 #: Classes of a group up to which all its pairs are made; where only some pairs count, twice the pairs for every row.
@@ -124,7 +124,7 @@ def _ranks(docs: DataFrame, k: int) -> Ranks:
     for r in got:
         levels[r["part"]] = np.frombuffer(r["levels"], np.uint8)
     mean = sum(r["total"] for r in got) / COUNTERS
-    return Ranks(levels.reshape(-1), int(level(np.array(TIMES * mean + LEAST))))
+    return Ranks(levels.reshape(-1), int(level(np.array(mean + LEAST))))
 
 
 def buckets(n: int) -> int:
@@ -232,15 +232,21 @@ def _spokes(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.select("hub", "node", "off", "n", "d", "linked", "short", "full")
 
 
+def _open(spokes: DataFrame) -> DataFrame:
+    """The spokes of hubs that have members of two components or more."""
+    more = spokes.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("hub")
+    return spokes.join(more, "hub", "left_semi")
+
+
 def _longer(spokes: DataFrame) -> DataFrame:
-    """(sig, node, off, n, k, at, role): the groups of the members of a hub that share a token of their prefixes, at place `at` of the k in which the member differs.
+    """(sig, node, comp, off, n, k, at, role): the groups of the members of a hub that share a token of their prefixes, at place `at` of the k in which the member differs.
 
     Role a: not linked to the hub, token among the first `short`; b: linked; c: not linked, another token. Only a with a, and b with a or c, may be new links.
     """
     tokens = F.slice("d", F.lit(1), F.greatest("full", F.lit(0)).cast("int"))
-    rows = spokes.select("hub", "node", "off", "n", F.size("d").cast("long").alias("k"), "linked", "short", F.posexplode(tokens).alias("at", "token"))
+    rows = spokes.select("hub", "node", "comp", "off", "n", F.size("d").cast("long").alias("k"), "linked", "short", F.posexplode(tokens).alias("at", "token"))
     role = F.when(F.col("linked"), "b").when(F.col("at") < F.col("short"), "a").otherwise("c")
-    return rows.select(F.xxhash64("hub", "token").alias("sig"), "node", "off", "n", "k", "at", role.alias("role"))
+    return rows.select(F.xxhash64("hub", "token").alias("sig"), "node", "comp", "off", "n", "k", "at", role.alias("role"))
 
 
 def _token_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -293,7 +299,7 @@ def _links(shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: in
     rows = shared
     for k in range(LENGTHS + 1):
         if k:
-            rows = cut(_unsettled(_labelled(rows, comps)), "rows")
+            rows = cut(_unsettled(rows), "rows")
             if rows.isEmpty():
                 break
         small, large = rows.where(F.col("c") <= FEW), rows.where(F.col("c") > FEW)
@@ -318,7 +324,7 @@ def _links(shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: in
             edges = found if edges is None else edges.union(found)
             comps = cut(connected_components(edges), "comps")
         if k < LENGTHS:
-            rows = _longer(spokes).distinct()
+            rows = _longer(_open(_labelled(spokes, comps))).distinct()
     return comps
 
 

@@ -73,7 +73,6 @@ def test_jaccard_groups(spark, k, num):
 def test_near_copies_by_their_hubs(spark, monkeypatch, k, num, seed, lengths):
     monkeypatch.setattr(ngram_join, "FEW", 2)
     monkeypatch.setattr(ngram_join, "LENGTHS", lengths)
-    monkeypatch.setattr(ngram_join, "TIMES", 0)
     monkeypatch.setattr(ngram_join, "LEAST", 2)
     spokes = []
     longer = ngram_join._longer
