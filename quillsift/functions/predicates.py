@@ -91,7 +91,11 @@ def like_escaped(value: Any) -> str:
 
 def _like(before: str, after: str, negative: bool) -> Callable[[Column, Any], Column]:
     def build(c: Column, value: Any) -> Column:
-        found = c.cast("string").ilike(f"{before}{like_escaped(value)}{after}")
+        if isinstance(value, Column):
+            escaped = F.regexp_replace(value.cast("string"), r"([\\%_])", r"\\$1")
+            found = F.ilike(c.cast("string"), F.concat(F.lit(before), escaped, F.lit(after)))
+        else:
+            found = c.cast("string").ilike(f"{before}{like_escaped(value)}{after}")
         return ~found if negative else found
 
     return build
@@ -225,6 +229,17 @@ def json_within(whole: Any, part: Any) -> bool:
     return type(whole) is type(part) and whole == part or (isinstance(whole, (int, float)) and isinstance(part, (int, float)) and not isinstance(whole, bool) and not isinstance(part, bool) and whole == part)
 
 
+def json_contained(text: str, part: Any) -> bool:
+    """Whether part is contained in the JSON text, or, a scalar, an element of the array it is; what is no JSON contains nothing."""
+    try:
+        whole = json.loads(text)
+    except ValueError:
+        return False
+    if isinstance(whole, list) and not isinstance(part, (list, dict)):
+        return any(json_within(w, part) for w in whole)
+    return json_within(whole, part)
+
+
 def _leaves(value: Any, path: str):
     """(path, scalar) of an object of scalars and objects; None where JVM functions cannot express the value."""
     if isinstance(value, dict) and value:
@@ -247,14 +262,19 @@ def _json_contains(c: Column, value: Any) -> Column:
         for path, v in leaves:
             found = F.get_json_object(text, path)
             quoted = F.to_json(F.try_variant_get(F.try_parse_json(text), path, "variant")).startswith('"')
-            same = (found == F.lit(v)) & quoted if isinstance(v, str) else (found.try_cast("double") == F.lit(float(v))) & ~quoted
+            if isinstance(v, str):
+                same = (found == F.lit(v)) & quoted
+            elif abs(v) < 1 << 63:
+                same = (found.try_cast("decimal(38,10)") == F.lit(v).cast("decimal(38,10)")) & ~quoted
+            else:
+                same = (found.try_cast("double") == F.lit(float(v))) & ~quoted
             tests.append(F.coalesce(same, F.lit(False)))
         return F.when(c.isNotNull(), folded(tests, False))
     part = json.loads(json.dumps(value))
 
     @F.pandas_udf("boolean")
     def contains(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else json_within(json.loads(t), part) for t in texts], dtype=object)
+        return pd.Series([None if t is None else json_contained(t, part) for t in texts], dtype=object)
 
     return contains(text)
 

@@ -81,7 +81,7 @@ class Membership:
         self.compiler, self.owner, self.association, self.target, self.token = compiler, owner, association, target, token
         self.model = owner.model
         self.owner_names, self.child_names = key_columns("o", len(self.model.key)), key_columns("c", len(target.key))
-        self.scoping: tuple[dict, tuple] | None = None
+        self.scoping: Relation | None = None
         self.scoping_outcome = None
 
     # Children and pairs
@@ -160,22 +160,17 @@ class Membership:
             pairs = pairs.where(F.col("__rank") > s.offset)
         return pairs.drop("__rank")
 
-    def scope_by(self, payload: dict, path: tuple) -> Any:
-        """Sets the payload's scoping group, which applies after the per-owner selection; returns its outcome."""
-        self.scoping = payload, path
-        self.scoping_outcome = self._compile_scoping(Relation(self.target, self.target.load()))
+    def scope_by(self, payload: dict, path: tuple, depth: int = 1) -> Any:
+        """Compiles the payload's scoping group, which applies after the per-owner selection, once, under an alias that all its uses have; returns its outcome."""
+        self.scoping = Relation(self.target, self.target.load())
+        self.scoping_outcome = self.compiler.compile(payload if payload.get("type") else {**payload, "type": "group"}, self.scoping, path, depth)
         return self.scoping_outcome
 
-    def _compile_scoping(self, child: Relation) -> Any:
-        payload, path = self.scoping
-        return self.compiler.compile(payload if payload.get("type") else {**payload, "type": "group"}, child, path, 1)
-
     def _scoped(self, df: DataFrame) -> DataFrame:
         if self.scoping is None:
             return df
-        child = Relation(self.target, df)
-        outcome = self._compile_scoping(child)
-        return child.filtered(self.compiler.as_condition(outcome, child))
+        child = Relation(self.target, df, alias=self.scoping.alias)
+        return child.filtered(self.compiler.as_condition(self.scoping_outcome, child))
 
     def pairs(self) -> DataFrame:
         """(owner key columns, child columns, child key columns under their own names)."""
@@ -237,8 +232,10 @@ class Membership:
         return self.owners(flagged.groupBy(*self.owner_names).agg(F.count_distinct(F.struct(*self.child_names)).alias("__n")).where(F.col("__n") >= minimum))
 
     def apply(self, predicate: str, args: list) -> Column:
-        literal, query = self.candidates(args)
         base, negative = predicate.removeprefix("not_"), predicate.startswith("not_")
+        if base == "has_any" and not args:  # whatever pairs there are are eligible
+            return ~self.has_children() if negative else self.has_children()
+        literal, query = self.candidates(args)
         if literal == []:
             return F.lit(EMPTY[predicate])
         found = self._set(base, literal, query)

@@ -262,12 +262,12 @@ class Compiler:
             target = self.models[association.target]
         return Membership(self, scope, association, target, token), name
 
-    def _scoping(self, node: dict, member: Membership, path: tuple) -> Outcome:
+    def _scoping(self, node: dict, member: Membership, path: tuple, depth: int) -> Outcome:
         if node.get("scoping") is None:
             return Outcome("success")
         if not isinstance(node["scoping"], dict):
             raise Failure("invalid_scoping", "scoping is a group", ("scoping",))
-        return member.scope_by(node["scoping"], (*path, "scoping"))
+        return member.scope_by(node["scoping"], (*path, "scoping"), depth + 1)
 
     def _association(self, node: dict, scope: Relation, path: tuple, depth: int) -> Outcome:
         predicate = identifier(node, "predicate", "missing_predicate")
@@ -275,7 +275,7 @@ class Compiler:
         if predicate in ("eq", "not_eq"):
             raise Failure("unsupported_predicate", f"{predicate} is no association predicate", ("predicate",))
         entry = self._predicate(predicate, "association", self.permissions(scope.model).association_predicates(name))
-        inner = self._scoping(node, member, path)
+        inner = self._scoping(node, member, path, depth)
         if inner.status == "failed":
             return Outcome("failed", diagnostics=inner.diagnostics, denied=inner.denied)
         args = arguments(node)
@@ -311,7 +311,7 @@ class Compiler:
             raise Failure("unsupported_distinct", f"{called} takes no distinct", ("distinct",))
         kind = allowed.result_type(called, name, field)
         entry = self._predicate(predicate, "aggregate", allowed.aggregate_predicates(kind))
-        inner = self._scoping(node, member, path)
+        inner = self._scoping(node, member, path, depth)
         if inner.status == "failed":
             return Outcome("failed", diagnostics=inner.diagnostics, denied=inner.denied)
         args, pairs = arguments(node), member.pairs()
@@ -400,9 +400,10 @@ class Compiler:
         for fn in self._transforms(model, name, kind, entry.name, "attribute"):
             column = self._called(fn, column)
         nodes = self._transforms(model, name, kind, entry.name, "value_node")
-        if nodes and how == "scalar":
+        if how in ("scalar", "list", "bounds", "text", "texts"):
             for fn in nodes:
-                args = [self._called(fn, a if isinstance(a, Column) else F.lit(a)) for a in args]
+                each = lambda a: a if a is None else self._called(fn, a if isinstance(a, Column) else F.lit(a))  # noqa: E731, B023
+                args = [[each(v) for v in a] if isinstance(a, list) else each(a) for a in args]
         extra = {"duration": [self.now, kind], "range": [kind], "range_scalar": [kind]}.get(how, [])
         try:
             out = self._called(entry.build, column, *args, *extra)

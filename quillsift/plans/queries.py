@@ -62,7 +62,7 @@ SPECS: dict[str, tuple[str, dict, str]] = {
     "prop_not_eq_nil": ("orders", prop("clerk_note", "not_eq_nil"), "o_orderkey % 3 <> 0"),
     "prop_eq_any": ("customer", prop("c_mktsegment", "eq_any", ["BUILDING", "MACHINERY"]), "c_mktsegment IN ('BUILDING', 'MACHINERY')"),
     "prop_eq_all": ("part", prop("p_size", "eq_all", [3, "3"]), "p_size = 3"),
-    "prop_not_eq_any": ("part", prop("p_size", "not_eq_any", [3, 4]), "p_size <> 3 OR p_size <> 4"),
+    "prop_not_eq_any": ("part", prop("p_size", "not_eq_any", [3]), "p_size <> 3"),
     "prop_not_eq_all": ("part", prop("p_size", "not_eq_all", [3, 4]), "p_size <> 3 AND p_size <> 4"),
     "prop_gt": ("customer", prop("c_acctbal", "gt", 5000), "c_acctbal > 5000"),
     "prop_lt": ("customer", prop("c_acctbal", "lt", "5000"), "c_acctbal < 5000"),
@@ -97,7 +97,7 @@ SPECS: dict[str, tuple[str, dict, str]] = {
     "assoc_has_all": ("part", assoc("suppliers", "has_all", [1, "2", 2]), _AMONG.format("1, 2") + " = 2"),
     "assoc_not_has_all": ("part", assoc("suppliers", "not_has_all", [1, 2]), _AMONG.format("1, 2") + " <> 2"),
     "assoc_only_has_any": ("nation", assoc("suppliers", "only_has_any", list(range(61))), "EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey <= 60) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey > 60)"),
-    "assoc_only_has_all": ("region", assoc("nations", "only_has_all", [0, 5, 14, 15, 16]), "(SELECT list(n_nationkey ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) = [0, 5, 14, 15, 16]"),
+    "assoc_only_has_all": ("region", assoc("nations", "only_has_all", [0, 5, 10, 15, 20]), "(SELECT list(n_nationkey ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) = [0, 5, 10, 15, 20]"),
     "assoc_has_all_missing_id": ("part", assoc("suppliers", "has_all", [1, 999999999]), "FALSE"),
     "assoc_empty_has_any": ("part", assoc("suppliers", "has_any", []), "FALSE"),
     "assoc_empty_only_has_all": ("part", assoc("suppliers", "only_has_all", []), "TRUE"),
@@ -144,7 +144,7 @@ SPECS: dict[str, tuple[str, dict, str]] = {
     "range_contains": ("orders", prop("period", "range_contains", dt.date(1996, 6, 15)), "DATE '1996-06-15' >= o_orderdate::DATE AND DATE '1996-06-15' < o_orderdate::DATE + 30"),
     "range_contained_by": ("orders", prop("period", "range_contained_by", Range(dt.date(1996, 1, 1), dt.date(1996, 12, 31), True, True)), "o_orderdate::DATE >= DATE '1996-01-01' AND o_orderdate::DATE + 30 <= DATE '1997-01-01'"),
     "range_overlaps": ("orders", prop("period", "range_overlaps", Range(dt.date(1996, 1, 1), dt.date(1996, 2, 1))), "o_orderdate::DATE < DATE '1996-02-01' AND o_orderdate::DATE + 30 > DATE '1996-01-01'"),
-    "range_strictly_left_of": ("orders", prop("period", "range_strictly_left_of", Range(dt.date(1994, 1, 1), None)), "o_orderdate::DATE + 30 <= DATE '1994-01-01'"),
+    "range_strictly_left_of": ("orders", prop("period", "range_strictly_left_of", Range(dt.date(1996, 1, 1), None)), "o_orderdate::DATE + 30 <= DATE '1996-01-01'"),
     "range_strictly_right_of": ("orders", prop("period", "range_strictly_right_of", Range(None, dt.date(1997, 1, 1))), "o_orderdate::DATE >= DATE '1997-01-01'"),
     "range_adjacent_to": ("orders", prop("period", "range_adjacent_to", Range(dt.date(1995, 3, 1), dt.date(1996, 3, 1))), "o_orderdate::DATE = DATE '1996-03-01' OR o_orderdate::DATE + 30 = DATE '1995-03-01'"),
     "inet_contains": ("event", prop("net", "inet_contains", "10.1.3.0/24"), f"event_id % 2 = 0 AND {_NET_BITS} // 256 = 1"),
@@ -152,13 +152,13 @@ SPECS: dict[str, tuple[str, dict, str]] = {
     "inet_overlaps": ("event", prop("net", "inet_overlaps", "10.1.3.0/24"), f"({_NET_BITS} // 256 = 1) AND (event_id % 2 = 0 OR event_id % 8 = 3)"),
 }
 
-for _name, _sql, _values in (
-    ("matches", "p_name ILIKE '%{}%' ESCAPE '\\'", ["a", "1"]), ("starts_with", "p_name ILIKE '{}%' ESCAPE '\\'", ["PART", "part#0"]), ("ends_with", "p_name ILIKE '%{}' ESCAPE '\\'", ["5", "0"]),
-    ("does_not_match", "p_name NOT ILIKE '%{}%' ESCAPE '\\'", ["1", "2"]), ("does_not_start_with", "p_name NOT ILIKE '{}%' ESCAPE '\\'", ["x", "PART"]), ("does_not_end_with", "p_name NOT ILIKE '%{}' ESCAPE '\\'", ["5", "0"]),
+for _name, _sql, _any, _all in (
+    ("matches", "p_name ILIKE '%{}%' ESCAPE '\\'", ["old", "PLATE"], ["old", "PLATE"]), ("starts_with", "p_name ILIKE '{}%' ESCAPE '\\'", ["RED", "hot"], ["re", "RED P"]), ("ends_with", "p_name ILIKE '%{}' ESCAPE '\\'", ["BOLT", "ring"], ["e", "d plate"]),
+    ("does_not_match", "p_name NOT ILIKE '%{}%' ESCAPE '\\'", ["old", "PLATE"], ["old", "PLATE"]), ("does_not_start_with", "p_name NOT ILIKE '{}%' ESCAPE '\\'", ["re", "RED P"], ["RED", "hot"]), ("does_not_end_with", "p_name NOT ILIKE '%{}' ESCAPE '\\'", ["e", "d plate"], ["BOLT", "ring"]),
 ):
-    SPECS[f"text_{_name}"] = ("part", prop("p_name", _name, _values[0]), _sql.format(_values[0]))
-    SPECS[f"text_{_name}_any"] = ("part", prop("p_name", f"{_name}_any", _values), " OR ".join(_sql.format(v) for v in _values))
-    SPECS[f"text_{_name}_all"] = ("part", prop("p_name", f"{_name}_all", _values), " AND ".join(_sql.format(v) for v in _values))
+    SPECS[f"text_{_name}"] = ("part", prop("p_name", _name, _any[0]), _sql.format(_any[0]))
+    SPECS[f"text_{_name}_any"] = ("part", prop("p_name", f"{_name}_any", _any), " OR ".join(_sql.format(v) for v in _any))
+    SPECS[f"text_{_name}_all"] = ("part", prop("p_name", f"{_name}_all", _all), " AND ".join(_sql.format(v) for v in _all))
 SPECS["text_escaped"] = ("orders", prop("clerk_note", "matches", "_50%"), f"{_NOTE} LIKE '%\\_50\\%%' ESCAPE '\\'")
 
 
@@ -226,6 +226,23 @@ def transform_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.filter_records_by("customer", prop("c_mktsegment", "eq", "bUILDING")).to_df().select("c_custkey")
 
 
+def transform_value_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions around column and operands, whatever form the operands have."""
+    engine = _engine(spark, sf_dir)
+    model = engine.models["customer"].transform("c_mktsegment", "attribute", F.lower).transform("c_mktsegment", "value_node", F.lower)
+    engine.register(model)
+    tree = group("or", prop("c_mktsegment", "eq_any", ["BUILDING", "household"]), prop("c_mktsegment", "starts_with_any", ["AUTO"]))
+    return engine.filter_records_by("customer", tree).to_df().select("c_custkey")
+
+
+def caller_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relation of the caller's own whose repeated rows are taken once."""
+    engine = _engine(spark, sf_dir)
+    model = engine.models["customer"]
+    twice = model.load().select("c_custkey", "c_acctbal")
+    return engine.filter_records_by(Relation(model, twice.union(twice)).distinct(), prop("c_acctbal", "lt", 0)).to_df().select("c_custkey")
+
+
 def custom_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = _engine(spark, sf_dir)
     engine.registry.register_predicate("multiple_of", "integer", fn=lambda c, n: c % F.lit(n) == 0, compounds=True)
@@ -276,6 +293,8 @@ _OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "derived_source": (derived_source, "SELECT c_custkey FROM customer WHERE c_acctbal < 0 AND (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) > 300000"),
     "model_scope": (model_scope, "SELECT c_custkey FROM customer WHERE (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus IN ('P', 'F')) <= 4"),
     "transform_lower": (transform_lower, "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building'"),
+    "transform_value_node": (transform_value_node, "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) IN ('building', 'household') OR lower(c_mktsegment) LIKE 'auto%'"),
+    "caller_distinct": (caller_distinct, "SELECT c_custkey FROM customer WHERE c_acctbal < 0"),
     "custom_predicate": (custom_predicate, "SELECT p_partkey FROM part WHERE p_size % 7 = 0 OR p_size % 11 = 0"),
     "custom_aggregate": (custom_aggregate, "SELECT c_custkey FROM customer WHERE (SELECT max(o_totalprice) - min(o_totalprice) FROM orders WHERE o_custkey = c_custkey) > 400000"),
     "owner_count_at_least": (owner_count_at_least, f"SELECT p_partkey FROM part t WHERE {_AMONG.format('1, 2, 3, 4, 5')} >= 2"),

@@ -10,6 +10,7 @@ from quillsift.functions.coerce import CoercionError, Range, boolean, duration,
 from quillsift.functions.predicates import builtin, json_within
 from quillsift.functions.types import TypeRegistry
 from quillsift.operators.association import EMPTY, canonical_ids
+from quillsift.operators.nodes import Compiler
 from quillsift.plans.config import Settings
 from quillsift.plans.engine import Engine
 from quillsift.plans.queries import agg, assoc, computed, group, op, prop
@@ -266,3 +267,41 @@ def test_streaming(spark, engine, tmp_path):
     assert [r["id"] for r in spark.sql("select id from filtered").collect()] == [2]
     with pytest.raises(FilterError):
         filter_stream(engine, engine.models["owner"], stream, group("and", limit=1))
+
+
+def test_json_contains_in_arrays_and_of_what_is_no_json(spark):
+    from quillsift.functions.predicates import json_contained
+
+    assert json_contained('["foo", "bar"]', "foo") and not json_contained('[["foo"]]', "foo") and not json_contained("{", "foo")
+    assert json_contained('[1, {"a": 2}]', [{"a": 2}]) and not json_contained('{"a": [1]}', {"a": 1}) and not json_contained("[1]", True)
+
+
+def test_scoping_is_compiled_once_and_counts_for_depth(spark, engine):
+    def tree(levels):
+        inner = {"predicate": "and", "filters": [{"type": "property", "property": "id", "predicate": "gt", "args": [0]}]}
+        for k in range(levels):
+            inner = {"predicate": "and", "filters": [{"type": "association", "association": "children" if (levels - k) % 2 else "owner", "predicate": "has_any", "scoping": inner}]}
+        return inner
+
+    made = []
+    compile_ = Compiler.compile
+    try:
+        Compiler.compile = lambda self, node, *a, **k: made.append(node) or compile_(self, node, *a, **k)
+        assert ids(engine, "owner", tree(6)) == [1, 2]
+        assert len(made) == 2 * 6 + 2
+    finally:
+        Compiler.compile = compile_
+    deepest = engine.registry.settings.max_depth
+    assert engine.compile_filter("owner", tree(deepest)).status != "success"
+
+
+@pytest.mark.parametrize(("predicate", "args", "want"), [("eq", "ONE", [1]), ("eq_any", ["ONE", "two"], [1, 2]), ("not_eq_all", ["ONE"], [2, 3]), ("matches", "E_5", [3]), ("starts_with_any", ["On", "TW"], [1, 2]), ("ends_with", "%", [3])])
+def test_value_nodes_of_all_operands(engine, predicate, args, want):
+    engine.register(engine.models["owner"].transform("name", "attribute", F.lower).transform("name", "value_node", F.lower))
+    assert ids(engine, "owner", {"type": "property", "property": "name", "predicate": predicate, "args": [args]}) == want
+
+
+def test_value_nodes_of_bounds(engine):
+    engine.register(engine.models["owner"].transform("amount", "value_node", lambda c: c + 1))
+    assert ids(engine, "owner", {"type": "property", "property": "amount", "predicate": "between", "args": [4, 6]}) == [1]
+    assert ids(engine, "owner", {"type": "property", "property": "amount", "predicate": "between", "args": [5, 18]}) == []
