@@ -62,6 +62,17 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a batch that goes to Python: texts are long, and a batch is held several times over on either side.
+BATCH = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows a batch, which bounds what an executor and its Python workers hold; a lower setting is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def same(a, b):
     return a.eqNullSafe(b)
 
@@ -75,6 +86,7 @@ def arrow_rows(df: DataFrame, schema: str, make: Callable[[list], Iterator[list]
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def batch(held: list) -> pa.RecordBatch:

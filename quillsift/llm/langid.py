@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import U, arrow_rows, cut, fresh
+from quillsift.llm.common import U, arrow_rows, cut, fresh, small_batches
 
 PROFILE, TRAIN_DOCS, MAX_LANGS = 400, 4_000, 5_000
 UNKNOWN = "und"
@@ -134,6 +134,7 @@ def learn(docs: DataFrame, train: Column, top: int = PROFILE, train_docs: int =
                     held, size = {}, 0
         yield from out()
 
+    small_batches(docs.sparkSession)
     counts = chosen.mapInArrow(run, "lang string, code long, count long")
     counts = cut(counts.groupBy("lang", "code").agg(F.sum("count").alias("count")), "ngrams")
     from pyspark.sql import Window
@@ -197,6 +198,7 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
 def keep_identified(docs: DataFrame, profiles: Profiles, accepted: list[str] | None = None, min_score: float = 0.0, text_col: str = "text", bounds: dict[str | None, tuple[float, float]] | None = None) -> DataFrame:
     """The rows of docs whose language is known (and accepted, and scored min_score or more, and within the bounds of `rejecting`)."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:

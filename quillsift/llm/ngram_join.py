@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import U, arrow_rows, cut, discard, fresh, mixed, shingle_set, signed, text_bytes
+from quillsift.llm.common import U, arrow_rows, cut, discard, fresh, mixed, shingle_set, signed, small_batches, text_bytes
 from quillsift.llm.components import connected_components
 
 #: Counters of tokens (one byte each in the table that tasks hold) and the slices in which they are added up.
@@ -49,7 +49,7 @@ COUNTERS, SLICES = 1 << 22, 1024
 #: A token is frequent if its counter is LEAST or more over the mean.
 LEAST = 12
 #: Tokens that a task holds before it counts them.
-COUNTED = 500_000
+COUNTED = 250_000
 #: Classes of a group up to which all its pairs are made; where only some pairs count, twice the pairs for every row.
 FEW = 16
 #: How often the groups beyond FEW are parted by another token.
@@ -82,12 +82,14 @@ class Ranks:
 def _counters(docs: DataFrame, k: int) -> DataFrame:
     """(part, counts): for each task and slice of the counters, what the task saw, compressed; the slice of no part."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         total, held, n = np.zeros(COUNTERS, np.uint32), [], 0
 
         def count(held):
-            at = (np.concatenate(held) >> U(20)) % U(COUNTERS)
-            np.add(total, np.bincount(at.astype(np.int64), minlength=COUNTERS).astype(np.uint32), out=total)
+            at, c = np.unique((np.concatenate(held) >> U(20)) % U(COUNTERS), return_counts=True)
+            total[at] += c.astype(np.uint32)
 
         for b in batches:
             for text in b.column(0):
