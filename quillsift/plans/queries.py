@@ -102,8 +102,8 @@ SPECS: dict[str, tuple[str, dict, str]] = {
     "assoc_empty_has_any": ("part", assoc("suppliers", "has_any", []), "FALSE"),
     "assoc_empty_only_has_all": ("part", assoc("suppliers", "only_has_all", []), "TRUE"),
     "assoc_has_any_scoped": ("customer", assoc("orders", "has_any", scoping=group("and", prop("o_totalprice", "gt", 400000))), _ORDERS.format("o_totalprice > 400000")),
-    "assoc_has_all_scoped_global": ("nation", assoc("customers", "not_has_all", scoping=group("and", prop("c_acctbal", "gt", 9950))), "(SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9950) <> (SELECT count(*) FROM customer WHERE c_acctbal > 9950)"),
-    "assoc_nested_scoping": ("nation", assoc("customers", "has_any", scoping=group("and", assoc("orders", "has_any", scoping=group("and", prop("o_totalprice", "gt", 480000))))), "EXISTS (SELECT 1 FROM customer c JOIN orders o ON o_custkey = c_custkey WHERE c_nationkey = n_nationkey AND o_totalprice > 480000)"),
+    "assoc_has_all_scoped_global": ("nation", assoc("customers", "not_has_all", scoping=group("and", prop("c_custkey", "eq", 7))), "(SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_custkey = 7) <> (SELECT count(*) FROM customer WHERE c_custkey = 7)"),
+    "assoc_nested_scoping": ("nation", assoc("customers", "has_any", scoping=group("and", assoc("orders", "has_any", scoping=group("and", prop("o_totalprice", "gt", 495000))))), "EXISTS (SELECT 1 FROM customer c JOIN orders o ON o_custkey = c_custkey WHERE c_nationkey = n_nationkey AND o_totalprice > 495000)"),
     "assoc_belongs_to": ("orders", assoc("customer", "has_any", scoping=group("and", prop("c_mktsegment", "eq", "BUILDING"))), "EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')"),
     "assoc_through": ("customer", assoc("region", "has_any", [1, 3]), "EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND n_regionkey IN (1, 3))"),
     "assoc_self_ref": ("nation", assoc("siblings", "has_any", scoping=group("and", prop("n_name", "ends_with", "0"))), "n_regionkey IN (SELECT n_regionkey FROM nation WHERE n_name ILIKE '%0')"),
