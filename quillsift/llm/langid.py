@@ -41,16 +41,16 @@ def _letters() -> np.ndarray:
 
 
 def ngrams(text: str | None) -> np.ndarray:
-    """Codes (21 bits a letter, 0 for a boundary) of all n-grams, with repeats; empty without a letter."""
+    """Codes (21 bits a letter, 1 for a boundary, so that an n-gram with one is no shorter n-gram's code) of all n-grams, with repeats; empty without a letter."""
     c = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
     c = np.where(_letters()[c], c, U(0))
     c = np.concatenate([np.zeros(1, U), c, np.zeros(1, U)])
     c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
     if len(c) < 3:
         return np.empty(0, U)
+    letter, c = c != 0, np.maximum(c, U(1))
     two = c[:-1] | c[1:] << U(21)
-    mid = c[1:-1] != 0
-    return np.concatenate([c[c != 0], two, (two[:-1] | c[2:] << U(42))[mid]])
+    return np.concatenate([c[letter], two, (two[:-1] | c[2:] << U(42))[letter[1:-1]]])
 
 
 def ranked(codes: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:

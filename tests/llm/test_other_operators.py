@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import sys
+import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -89,6 +91,119 @@ def test_mixing_meets_its_budgets(spark):
     assert sum(p["n"] * p["passes"] for p in small) <= 301 and sorted(map(tuple, small), key=repr) == sorted(map(tuple, mixing_schedule(docs.repartition(5), 1.0, None, budget=300).collect()), key=repr)
 
 
+def brute_exponent(t, entropy_share, max_repeats, budget):
+    def split(a):
+        x = [(v / max(t)) ** a for v in t]
+        return [v / sum(x) for v in x]
+
+    def spread(a):
+        return -sum(w * math.log(w) for w in split(a)) <= entropy_share * math.log(len(t))
+
+    def few(a):
+        w = split(a)
+        b = budget or max(v / x for v, x in zip(t, w, strict=True))
+        return max(b * x / v for v, x in zip(t, w, strict=True)) <= max_repeats
+
+    found = 0.0
+    for good in [f for f, x in ((spread, entropy_share), (few, max_repeats)) if x is not None]:
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if good(mid) else (mid, hi)
+        found = max(found, 0.0 if good(0.0) else hi)
+    return found
+
+
+def brute_blocks(units, room, block, order):
+    """The units of the whole blocks that fit in turn, those of the first block that does not, and the room left."""
+    out, blocks = [], {}
+    for u in units:
+        blocks.setdefault((u[order], u[block]), []).append(u)
+    for key in sorted(blocks):
+        size = sum(u["n"] for u in blocks[key])
+        if size > room:
+            return out, blocks[key], room
+        out, room = out + blocks[key], room - size
+    return out, [], 0
+
+
+@pytest.mark.parametrize(("entropy_share", "max_repeats", "budget"), [(0.95, 4.0, None), (None, 1.5, None), (0.7, None, 9001)])
+def test_mixing_against_a_plain_schedule(spark, entropy_share, max_repeats, budget):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    docs = docs.union(spark.createDataFrame([(-1, "w " * 40_000, "big"), (-2, None, "big"), (-3, "", None), (-4, "a b", None), (-5, "", "none")], docs.schema))
+    keys = docs.selectExpr("doc_id", "source", "text", "xxhash64(text) as h").selectExpr("*", "pmod(xxhash64(21, doc_id, h), 256L) as b1", "pmod(xxhash64(22, doc_id, h), 256L) as b2", "xxhash64(23, doc_id, h) as o3")
+    units = [r.asDict() for r in keys.selectExpr("*", "xxhash64(20, source, b1) as o1", "xxhash64(20, source, b1, b2) as o2").collect()]
+    for u in units:
+        u["n"] = len((u["text"] or "").split())
+    total = Counter()
+    for u in units:
+        total[u["source"]] += u["n"]
+    t = [v for v in total.values() if v]
+    a = brute_exponent(t, entropy_share, max_repeats, budget)
+    powers = {s: (v / max(t)) ** a if v else 0.0 for s, v in total.items()}
+    weight = {s: x / sum(powers.values()) for s, x in powers.items()}
+    whole = budget or max(total[s] / weight[s] for s in total if total[s])
+    want, cut = {}, 0
+    for s, v in total.items():
+        mine = [u for u in units if u["source"] == s]
+        tokens = round(weight[s] * whole)
+        passes, room = divmod(tokens, v) if v else (1, 0)
+        want |= {u["doc_id"]: passes for u in mine}
+        one, rest, room = brute_blocks([u for u in mine if u["n"]], room, "b1", "o1")
+        two, rest, room = brute_blocks(rest, room, "b2", "o2")
+        for u in sorted(rest, key=lambda u: u["o3"]):
+            if u["n"] > room:
+                cut += 1
+                break
+            two, room = [*two, u], room - u["n"]
+        for u in one + two:
+            want[u["doc_id"]] += 1
+    plan = mixing_schedule(docs, entropy_share, max_repeats, budget).collect()
+    assert {r["id"]: r["passes"] for r in plan} == want and len(plan) == len(want) and cut
+    assert all(abs(r["weight"] - weight[r["s"]]) < 1e-9 for r in plan)
+    rows = mix_sources(docs, entropy_share, max_repeats, budget).collect()
+    assert Counter((r["doc_id"], r["mix_pass"]) for r in rows) == Counter((i, k) for i, n in want.items() for k in range(n))
+    home = {u["doc_id"]: (u["source"], u["b1"]) for u in units}
+    dealt = {(r["mix_block"], r["mix_pass"], *home[r["doc_id"]]) for r in rows}
+    assert len(dealt) == len({x[0] for x in dealt}) == len({x[1:] for x in dealt}) and len({r["mix_rank"] for r in rows}) == len(rows)
+
+
+def brute_grams(text):
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    line, found = f" {' '.join(words)} ", Counter()
+    for n in (1, 2, 3) if words else ():
+        for g in (line[p : p + n] for p in range(len(line) - n + 1)):
+            if (n == 1 and g != " ") or n == 2 or (n == 3 and g[1] != " "):
+                found[g] += 1
+    return found
+
+
+def brute_order(grams, top):
+    code = lambda g: sum((1 if c == " " else ord(c)) << 21 * k for k, c in enumerate(g))
+    return {g: k for k, g in enumerate(sorted(grams, key=lambda g: (-grams[g], code(g)))[:top])}
+
+
+@pytest.mark.parametrize("top", [400, 30])
+def test_language_id_against_plain_ranks(spark, top):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = [None, "", "12 %", "The THE the", "The THE the", "q", "the of and " * 20_000, "Éa ß İx 東京 9", "\x00a\n\tb"]
+    extra = documents(spark, [(-1 - k // 2, t, "en" if k % 2 else "zz", "s") for k, t in enumerate(odd)] + [(None, "le la les", "fr", "s"), (-90, "ab ba", None, "s")])
+    both = docs.union(extra.select(*docs.columns))
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in both.collect()]
+    grams = {}
+    for i, t, lang in rows:
+        if t is not None and lang is not None and (i is None or zlib.crc32(str(i).encode()) % 4 != 2):
+            grams.setdefault(lang, Counter()).update(brute_grams(t))
+    known, want = {lang: brute_order(g, top) for lang, g in grams.items() if g}, []
+    for i, t, _ in rows:
+        own = brute_order(brute_grams(t), top)
+        out = {lang: sum(min(abs(ranks[g] - k), top) if g in ranks else top for g, k in own.items()) for lang, ranks in known.items()}
+        best = min(sorted(out), key=out.get) if own else "und"
+        want.append((i, best, 1.0 - out[best] / (top * len(own)) if own else 0.0))
+    got = identify(both, learn(both, ~held_out("doc_id"), top=top)).select("doc_id", "lang_pred", "score").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len({x[1] for x in want}) > 3
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     extra = documents(spark, [(-1, None, "en", "s"), (-2, "12 %", "en", "s"), (-3, "", None, "s"), (None, "the of", "en", "s")]).select(*docs.columns)
