@@ -222,6 +222,27 @@ class Membership:
     def has_children(self) -> Column:
         return self.owners(self.pairs())
 
+    def matching(self, candidates: Any) -> DataFrame:
+        """The pairs whose child is among the candidates."""
+        pairs = self.pairs()
+        literal, query = self.candidates([candidates])
+        if literal is not None and len(self.child_names) == 1:
+            return pairs.where(F.col(self.child_names[0]).isin([t[0] for t in literal]))
+        if literal is not None:
+            query = pairs.sparkSession.createDataFrame(literal, pairs.select(*self.child_names).schema)
+        return pairs.join(query.select(*self.child_names), self.child_names, "left_semi")
+
+    def owner_child_predicate(self, predicate: str, value: Any) -> Column:
+        """Whether the key of a child of the owner meets the predicate; eq and not_eq of nothing ask for no child and for any."""
+        if value is None and predicate in ("eq", "not_eq"):
+            return ~self.has_children() if predicate == "eq" else self.has_children()
+        entry = self.compiler.registry.predicates.get(predicate)
+        if entry is None or len(self.target.key) > 1:
+            raise FilterError(f"unknown predicate {predicate!r}" if entry is None else f"the key of {self.target.name} has several columns")
+        key = self.target.key[0]
+        kind = self.target.type_of(key, self.target.load())
+        return self.owners(self.pairs().where(self.compiler.condition(entry, F.col(self.child_names[0]), kind, [value], self.target, key)))
+
     def owner_count_at_least(self, minimum: int, candidates: Any = None) -> Column:
         """Whether the owner has so many distinct children (among candidates)."""
         if not isinstance(minimum, int) or isinstance(minimum, bool):

@@ -323,9 +323,10 @@ class Compiler:
             value = aggregate.build(F.lit(1), False)
         grouped = pairs.groupBy(*member.owner_names).agg(value.alias("__value"))
         test = lambda c: self.condition(entry, c, kind, args, member.target, field or "")
-        condition = member.owners(grouped.where(test(F.col("__value"))))
-        if aggregate.empty_value is not None:
-            condition = condition | (~member.owners(pairs) & F.coalesce(test(F.lit(aggregate.empty_value)), F.lit(False)))
+        passed = F.coalesce(test(F.col("__value")), F.lit(False))
+        condition = member.owners(grouped.where(passed))
+        if aggregate.empty_value is not None:  # of constants, so one of the two is all that is left of the plan
+            condition = F.when(test(F.lit(aggregate.empty_value)), ~member.owners(grouped.where(~passed))).otherwise(condition)
         return self._negated(node, Outcome(inner.status, condition, inner.diagnostics))
 
     # The predicate pipeline

@@ -261,6 +261,24 @@ def owner_count_at_least(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.filter_records_by("part", assoc("suppliers", "has_at_least", 2, [1, 2, 3, 4, 5])).to_df().select("p_partkey")
 
 
+def matching_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An association predicate of the host's own from the pairs of an owner's matching children."""
+    engine = _engine(spark, sf_dir)
+
+    def has_just_one_of(member, ids):
+        counts = member.matching(ids).groupBy(*member.owner_names).agg(F.count_distinct(*member.child_names).alias("n"))
+        return member.owners(counts.where("n = 1"))
+
+    engine.registry.register_association_predicate("has_just_one_of", has_just_one_of)
+    return engine.filter_records_by("part", assoc("suppliers", "has_just_one_of", [1, 2, 3, 4, 5])).to_df().select("p_partkey")
+
+
+def owner_child_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _engine(spark, sf_dir)
+    engine.registry.register_association_predicate("has_key_below", lambda member, key: member.owner_child_predicate("lt", key))
+    return engine.filter_records_by("customer", assoc("orders", "has_key_below", 500)).to_df().select("c_custkey")
+
+
 def host_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A node type of the host's own, beside built-in ones."""
     engine = _engine(spark, sf_dir)
@@ -298,6 +316,8 @@ _OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "custom_predicate": (custom_predicate, "SELECT p_partkey FROM part WHERE p_size % 7 = 0 OR p_size % 11 = 0"),
     "custom_aggregate": (custom_aggregate, "SELECT c_custkey FROM customer WHERE (SELECT max(o_totalprice) - min(o_totalprice) FROM orders WHERE o_custkey = c_custkey) > 400000"),
     "owner_count_at_least": (owner_count_at_least, f"SELECT p_partkey FROM part t WHERE {_AMONG.format('1, 2, 3, 4, 5')} >= 2"),
+    "matching_children": (matching_children, f"SELECT p_partkey FROM part t WHERE {_AMONG.format('1, 2, 3, 4, 5')} = 1"),
+    "owner_child_predicate": (owner_child_predicate, "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey < 500)"),
     "host_node": (host_node, "SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey % 2 <> 0"),
     "order_nulls": (order_nulls, f"SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 ORDER BY {_NOTE} DESC NULLS FIRST, o_orderkey LIMIT 12"),
     "flagship": (flagship, "SELECT c_custkey FROM customer WHERE (c_mktsegment = 'BUILDING' AND (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) >= 12) OR (EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND n_regionkey = 2) AND (SELECT min(o_totalprice) FROM orders WHERE o_custkey = c_custkey) > 100000)"),

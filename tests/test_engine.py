@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillsift.functions.coerce import CoercionError, Range, boolean, duration, shifted
 from quillsift.functions.predicates import builtin, json_within
 from quillsift.functions.types import TypeRegistry
-from quillsift.operators.association import EMPTY, canonical_ids
+from quillsift.operators.association import EMPTY, Membership, canonical_ids
 from quillsift.operators.nodes import Compiler
 from quillsift.plans.config import Settings
 from quillsift.plans.engine import Engine
@@ -305,3 +305,22 @@ def test_value_nodes_of_bounds(engine):
     engine.register(engine.models["owner"].transform("amount", "value_node", lambda c: c + 1))
     assert ids(engine, "owner", {"type": "property", "property": "amount", "predicate": "between", "args": [4, 6]}) == [1]
     assert ids(engine, "owner", {"type": "property", "property": "amount", "predicate": "between", "args": [5, 18]}) == []
+
+
+def test_child_predicates_and_matching_children(engine):
+    member = lambda model, name: Membership(Compiler(engine.registry, engine.models, None, engine._cache, NOW), engine.models[model].all(), engine.models[model].associations[name], engine.models[engine.models[model].associations[name].target])
+
+    def owners(test):
+        m = member("owner", "children")
+        return sorted(r.id for r in m.owner.filtered(test(m)).collect())
+
+    assert owners(lambda m: m.owner_child_predicate("gteq", 12)) == [2]
+    assert owners(lambda m: m.owner_child_predicate("eq", None)) == [3]
+    assert owners(lambda m: m.owner_child_predicate("not_eq", None)) == [1, 2]
+    assert sorted(r.id for r in member("owner", "children").matching([10, 12, 13]).collect()) == [10, 12]
+    assert member("owner", "children").matching([]).count() == 0
+    assert [r.label for r in member("kid", "pair").matching([(2, "x")]).collect()] == ["r", "r"]
+    with pytest.raises(FilterError):
+        member("kid", "pair").owner_child_predicate("eq", 1)
+    with pytest.raises(FilterError):
+        member("owner", "children").owner_child_predicate("no_such", 1)
