@@ -297,8 +297,7 @@ def _links(shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: in
     The hub is the member with the least `off`: with g rare tokens that common ones of the group replaced and l lost, a near
     copy of m tokens has g + l - m = 2 g - n, so that the least is the nearest to what the group has in common.
     """
-    edges = comps = None
-    rows = shared
+    comps, rows = None, shared
     for k in range(LENGTHS + 1):
         if k:
             rows = cut(_unsettled(rows), "rows")
@@ -323,8 +322,9 @@ def _links(shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: in
         found = cut(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
         discard(sets)
         if not found.isEmpty():
-            edges = found if edges is None else edges.union(found)
+            edges = found if comps is None else found.union(comps.where("node <> component").select("node", "component"))
             comps = cut(connected_components(edges), "comps")
+        discard(found)
         if k < LENGTHS:
             rows = _longer(_open(_labelled(spokes, comps))).distinct()
     return comps
