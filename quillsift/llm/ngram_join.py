@@ -45,9 +45,9 @@ from quillsift.llm.common import U, arrow_rows, cut, discard, fresh, mixed, shin
 from quillsift.llm.components import connected_components
 
 #: Counters of tokens (one byte each in the table that tasks hold) and the slices in which they are added up.
-COUNTERS, SLICES = 1 << 22, 1024
-#: A token is frequent if its counter is LEAST or more over the mean.
-LEAST = 12
+COUNTERS, SLICES = 1 << 24, 1024
+#: A token is frequent if its counter is over the mean by LEAST or more, and by NOISE times what rare tokens scatter about it.
+LEAST, NOISE = 12, 4
 #: Tokens that a task holds before it counts them.
 COUNTED = 250_000
 #: Classes of a group up to which all its pairs are made; where only some pairs count, twice the pairs for every row.
@@ -58,9 +58,18 @@ LENGTHS = 3
 BROADCAST_IDS = 1_000_000
 
 
-def level(counts: np.ndarray) -> np.ndarray:
-    """Quarters of the logarithm to base 2, a byte."""
-    return (4 * np.log2(1.0 + counts)).astype(np.uint8)
+def scatter(mean: float) -> float:
+    """How far a counter of rare tokens alone lies from the mean (Poisson)."""
+    return float(np.sqrt(mean + 1.0))
+
+
+def level(counts: np.ndarray, mean: float = 0.0) -> np.ndarray:
+    """A byte that rises with the counts: sixteenths of their scatter up to six times that over the mean, then sixths of the logarithm to base 2.
+
+    On a large corpus all counters are near the mean, and only steps finer than the scatter still tell rare tokens from common ones.
+    """
+    over = (counts - mean) / scatter(mean)
+    return np.clip(np.where(over < 6, 64 + 16 * over, 160 + 6 * np.log2(np.maximum(over, 6) / 6)), 0, 255).astype(np.uint8)
 
 
 class Ranks:
@@ -101,32 +110,42 @@ def _counters(docs: DataFrame, k: int) -> DataFrame:
         if n:
             count(held)
         if total.any():
-            parts = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in total.reshape(SLICES, -1)]
+            parts = [zlib.compress(x.astype("<u4" if x.max() > 255 else "u1").tobytes(), 1) for x in total.reshape(SLICES, -1)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
 
     return docs.select("text").mapInArrow(run, "part int, counts binary")
 
 
 def _ranks(docs: DataFrame, k: int) -> Ranks:
+    width = COUNTERS // SLICES
+
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for part, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = np.frombuffer(zlib.decompress(counts.as_py()), "<u4")
+                x = zlib.decompress(counts.as_py())
+                x = np.frombuffer(x, "u1" if len(x) == width else "<u4")
                 if part in sums:
                     sums[part] += x
                 else:
                     sums[part] = x.astype(np.int64)
         if sums:
-            levels = [level(x).tobytes() for x in sums.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(levels, pa.binary()), pa.array([int(x.sum()) for x in sums.values()], pa.int64())], names=["part", "levels", "total"])
+            packed = [zlib.compress(x.tobytes(), 1) for x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(packed, pa.binary()), pa.array([int(x.sum()) for x in sums.values()], pa.int64())], names=["part", "counts", "total"])
+
+    summed = cut(_counters(docs, k).repartition("part").mapInArrow(add, "part int, counts binary, total long"), "counters")
+    mean = (summed.agg(F.sum("total")).first()[0] or 0) / COUNTERS
+
+    def rate(batches):
+        for b in batches:
+            levels = [level(np.frombuffer(zlib.decompress(x.as_py()), np.int64), mean).tobytes() for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(levels, pa.binary())], names=["part", "levels"])
 
-    got = _counters(docs, k).repartition("part").mapInArrow(add, "part int, levels binary, total long").collect()
-    levels = np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
-    for r in got:
+    levels = np.full((SLICES, width), level(np.zeros(1), mean), np.uint8)
+    for r in summed.select("part", "counts").mapInArrow(rate, "part int, levels binary").toLocalIterator():
         levels[r["part"]] = np.frombuffer(r["levels"], np.uint8)
-    mean = sum(r["total"] for r in got) / COUNTERS
-    return Ranks(levels.reshape(-1), int(level(np.array(mean + LEAST))))
+    discard(summed)
+    return Ranks(levels.reshape(-1), int(level(np.array(mean + max(LEAST, NOISE * scatter(mean))), mean)))
 
 
 def buckets(n: int) -> int:
@@ -213,14 +232,15 @@ def _prefix_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _spokes(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(hub, node, off, n, d, linked, short, full): the tokens d in which node differs from its hub, rarest first, whether they link, and how many of d to compare.
+    """(hub, node, off, n, k, d, linked, short): of the k tokens in which node differs from its hub the rarest, d, as many as are to be compared, and whether they link.
 
     Let Dx be the tokens in which x and the hub p differ and r = (den - num) / (den + num): x and y
     link if |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy| <= r (|x| + |y|). Of a link between components at
     least one end, x, is not linked to p, so |Dx| > r (|x| + |p|) and |Dx & Dy| >
-    (|Dy| + r (|p| - |y|)) / 2: the first `short` tokens of Dy have one of Dx. The same holds for x
-    if y is not linked to p either; if y is, |Dx & Dy| <= |Dy| still gives
-    |Dx & Dy| >= |Dx| - r (|x| + |y|) >= |Dx| - |x| (den - num) / num, and at least one token.
+    (|Dy| + r (|p| - |y|)) / 2: so many first tokens of Dy have one of Dx. The same holds for x
+    if y is not linked to p either. Of any two, linked to p or not, |Dx & Dy| <= |Dy| also gives
+    |Dx & Dy| >= |Dx| - r (|x| + |y|) >= |Dx| - |x| (den - num) / num, and at least one token,
+    which for members far from their hub says more. `short` is the lesser of the two numbers.
     All D of a hub have one order: tokens that the hub lacks, rarest first, then those that it has.
     """
     one, hub = sets.select(F.col("f").alias("node"), F.col("s").alias("x")), sets.select(F.col("f").alias("hub"), F.col("s").alias("y"))
@@ -230,8 +250,9 @@ def _spokes(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     linked = F.col("k") * (num + den) <= (F.col("n") + F.col("m")) * (den - num)
     short = F.col("k") - F.floor((F.col("k") * (num + den) + (F.col("m") - F.col("n")) * (den - num)) / (2 * (num + den)))
     full = F.col("k") + 1 - F.greatest(F.lit(1), F.ceil((F.col("k") * num - F.col("n") * (den - num)) / num))
-    both = both.withColumns({"linked": linked, "short": short}).withColumn("full", F.when(F.col("linked"), F.col("short")).otherwise(F.greatest(full, "short")))
-    return both.select("hub", "node", "off", "n", "d", "linked", "short", "full")
+    both = both.withColumns({"linked": linked, "full": full}).withColumn("short", F.least(short, "full"))
+    kept = F.slice("d", F.lit(1), F.greatest(F.when(F.col("linked"), F.col("short")).otherwise(F.col("full")), F.lit(0)).cast("int"))
+    return both.select("hub", "node", "off", "n", "k", kept.alias("d"), "linked", "short")
 
 
 def _open(spokes: DataFrame) -> DataFrame:
@@ -245,8 +266,7 @@ def _longer(spokes: DataFrame) -> DataFrame:
 
     Role a: not linked to the hub, token among the first `short`; b: linked; c: not linked, another token. Only a with a, and b with a or c, may be new links.
     """
-    tokens = F.slice("d", F.lit(1), F.greatest("full", F.lit(0)).cast("int"))
-    rows = spokes.select("hub", "node", "comp", "off", "n", F.size("d").cast("long").alias("k"), "linked", "short", F.posexplode(tokens).alias("at", "token"))
+    rows = spokes.select("hub", "node", "comp", "off", "n", "k", "linked", "short", F.posexplode("d").alias("at", "token"))
     role = F.when(F.col("linked"), "b").when(F.col("at") < F.col("short"), "a").otherwise("c")
     return rows.select(F.xxhash64("hub", "token").alias("sig"), "node", "comp", "off", "n", "k", "at", role.alias("role"))
 
@@ -340,10 +360,11 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     docs = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("h"), text_bytes(text_col).alias("text"))
     order = docs.sparkSession.sparkContext.broadcast(_ranks(docs, k))
     signed_docs = cut(_signed_docs(docs, k, num, den, order), "signed")
-    member = signed_docs.select("id", "h", "n", "f", "g")
+    member = cut(signed_docs.select("id", "h", "n", "f", "g"), "member")
     usable = signed_docs.where("id is not null and f is not null")
     classes = usable.groupBy("f", "g").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("beyond").alias("beyond"), F.first("sigs").alias("sigs"))
     classes = cut(classes, "classes")
+    discard(signed_docs)
     index = classes.select(F.explode("sigs").alias("sig"), "id")
     common = index.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
     rare = F.when(F.col("beyond") < 0, F.col("n") + F.col("beyond") + 1).otherwise(F.col("n"))

@@ -99,6 +99,23 @@ def test_ranks_do_not_depend_on_how_rows_lie(spark):
     assert a.of(shingle_set(b"one two three", 3))[0] == ngram_join.level(np.array(60)) >= a.often
 
 
+def test_full_counters_make_no_token_frequent(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COUNTERS", 1024)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(1_202)) + " one two three") for i in range(300)]
+    ranks = ngram_join._ranks(table(spark, rows).select(text_bytes("text").alias("text")), 3)
+    assert (ranks.levels >= ranks.often).mean() < 0.02 and len(np.unique(ranks.levels)) > 32
+    assert ranks.of(shingle_set(b"one two three", 3))[0] >= ranks.often
+
+
+def test_far_members_of_a_hub_hand_on_few_tokens(spark):
+    node = lambda f: {"id": f, "f": f}
+    sets = spark.createDataFrame([(node(1), list(range(200))), (node(2), [0, *range(1000, 1199)]), (node(3), [*range(195), 5000])], "f struct<id:long,f:long>, s array<long>")
+    rows = spark.createDataFrame([(node(1), node(2), 0), (node(1), node(3), 0)], "hub struct<id:long,f:long>, node struct<id:long,f:long>, off long")
+    found = {r["node"]["id"]: r for r in ngram_join._spokes(rows, sets, 90, 100).collect()}
+    assert found[2]["k"] == 398 and not found[2]["linked"] and found[2]["d"] == list(range(1000, 1023)) and found[2]["short"] == 23
+    assert found[3]["k"] == 6 and found[3]["linked"] and len(found[3]["d"]) == found[3]["short"]
+
+
 def test_one_of_each_group_stays(spark):
     rows = [x for x in corpus() if x[0] != 305]
     docs = table(spark, rows)
