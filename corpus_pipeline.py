@@ -13,10 +13,10 @@ from quillsift.llm.ngram_join import dedup_ngrams
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language go, and those too far from the documents of theirs; profiles and bounds come from the labelled documents themselves."""
+    """Documents without an identifiable language go, and those too far from the documents of theirs; profiles and bounds come from all labelled documents themselves."""
     labelled = docs["doc_id"].isNotNull()
-    profiles = learn(docs, labelled)
-    return keep_identified(docs, profiles, bounds=rejecting(docs, profiles, labelled))
+    profiles = learn(docs, labelled, train_docs=None)
+    return keep_identified(docs, profiles, bounds=rejecting(docs, profiles, labelled, train_docs=None))
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,9 +6,9 @@ language whose profile its own most frequent n-grams, of the whole text, are lea
 place with. An n-gram that a profile lacks is out of place by PROFILE.
 
 Profiles are learned from labelled rows: about TRAIN_DOCS documents of every language, chosen
-by hash of the id, or all where there are fewer; this is the only bound, it does not touch
-the documents that are classified, and the profiles (at most MAX_LANGS languages) are the
-only thing collected or broadcast.
+by hash of the id, or all where there are fewer (all of them with train_docs None, as in the
+pipeline); this is the only bound, it does not touch the documents that are classified, and the
+profiles (at most MAX_LANGS languages) are the only thing collected or broadcast.
 
 Defined results: a text that is null or has no letter is `und` with score 0, as is every text
 if nothing could be learned; ties go to the language that sorts first; repeated rows get the
@@ -33,6 +33,8 @@ COUNTED = 2_000_000
 #: What rejects a text in `rejecting`: the part of a language's learned documents that may lie below, what is left of
 #: their bound for clean texts unlike them, and the fewest learned documents that give a language bounds of its own.
 REJECT, LOOSE, JUDGED = 0.01, 0.5, 100
+#: Steps to which scores and shares are cut for their percentiles, so that these need a count a step and not a value a document.
+STEPS = 10_000
 
 
 @cache
@@ -84,8 +86,8 @@ class Profiles:
         return self.langs[best], 1.0 - float(out[best]) / (self.top * len(own))
 
 
-def _chosen(docs: DataFrame, train: Column, train_docs: int, id_col: str, text_col: str, lang_col: str) -> DataFrame | None:
-    """(lang, text) of the rows that profiles are learned from; None without any."""
+def _chosen(docs: DataFrame, train: Column, train_docs: int | None, id_col: str, text_col: str, lang_col: str) -> DataFrame | None:
+    """(lang, text) of the rows that profiles are learned from, all with train_docs None; None without any."""
     p = fresh(docs)
     spark = docs.sparkSession
     rows = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
@@ -94,13 +96,15 @@ def _chosen(docs: DataFrame, train: Column, train_docs: int, id_col: str, text_c
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not langs:
         return None
+    if train_docs is None:
+        return rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     share = spark.createDataFrame([(r["lang"], min(1.0, train_docs / r["count"])) for r in langs], f"{p}lang string, {p}share double")
     draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.join(F.broadcast(share), rows[lang_col].cast("string") == F.col(p + "lang")).where(draw < F.col(p + "share"))
     return chosen.select(F.col(p + "lang").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
 
-def learn(docs: DataFrame, train: Column, top: int = PROFILE, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
+def learn(docs: DataFrame, train: Column, top: int = PROFILE, train_docs: int | None = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
     """Profiles from the rows of docs where train holds, with a text and a language."""
     chosen = _chosen(docs, train, train_docs, id_col, text_col, lang_col)
     if chosen is None:
@@ -152,7 +156,7 @@ def letter_share(text: str | None) -> float:
     return float(_letters()[c].mean()) if len(c) else 0.0
 
 
-def rejecting(docs: DataFrame, profiles: Profiles, train: Column, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str | None, tuple[float, float]]:
+def rejecting(docs: DataFrame, profiles: Profiles, train: Column, train_docs: int | None = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str | None, tuple[float, float]]:
     """(score, letter share) by language below which a text is not of it: LOOSE times what all but the lowest REJECT of its learned documents reach.
 
     Both are needed: the score tells foreign words, but a text of few letters scores as high as any, and
@@ -169,11 +173,12 @@ def rejecting(docs: DataFrame, profiles: Profiles, train: Column, train_docs: in
         for lang, text in zip(*cols, strict=True):
             found, score = known.predict(text)
             if found != UNKNOWN:
-                yield [lang], [score], [letter_share(text)]
+                yield [lang] * 2, [0, 1], [int(score * STEPS), int(letter_share(text) * STEPS)]
 
-    scored = arrow_rows(chosen, "lang string, score double, letters double", make, flush=20_000).groupBy("lang")
-    low = scored.agg(F.count("*").alias("n"), *[F.percentile(c, F.lit(REJECT)).alias(c) for c in ("score", "letters")]).where(F.col("n") >= JUDGED).collect()
-    bounds = {r["lang"]: (LOOSE * r["score"], LOOSE * r["letters"]) for r in low}
+    seen = arrow_rows(chosen, "lang string, what int, step int", make, flush=20_000).groupBy("lang", "what", "step").agg(F.count("*").alias("n"))
+    low = seen.groupBy("lang", "what").agg(F.sum("n").alias("n"), F.percentile("step", F.lit(REJECT), F.col("n")).alias("step")).where(F.col("n") >= JUDGED)
+    found = {(r["lang"], r["what"]): LOOSE * r["step"] / STEPS for r in low.collect()}
+    bounds = {lang: (found[lang, 0], found[lang, 1]) for lang, what in found if not what}
     return bounds | {None: tuple(map(min, zip(*bounds.values(), strict=True))) if bounds else (0.0, 0.0)}
 
 

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quillsift.llm import langid
 from quillsift.llm.embedding_dedup import dedup_embeddings, embedding_links, quantised, unit
 from quillsift.llm.langid import held_out, identify, keep_identified, learn
 from quillsift.llm.licenses import TEMPLATES, license_matches, template_bigrams
@@ -227,6 +228,14 @@ def test_language_stage_rejects_what_is_no_text(spark):
     assert left.where("doc_id < 0").count() == 0 and left.count() >= 0.995 * docs.count()
 
 
+def test_pipeline_learns_from_all_documents(spark, monkeypatch):
+    seen, chosen = [], langid._chosen
+    monkeypatch.setattr(langid, "_chosen", lambda *a: seen.append(chosen(*a)) or seen[-1])
+    docs = spark.range(4_300).selectExpr("id as doc_id", "concat('some words ', id) as text", "'en' as lang")
+    assert corpus_pipeline.identify_language(spark, docs, "").count() == 4_300
+    assert [x.count() for x in seen] == [4_300, 4_300]
+
+
 def test_rollup(spark, tmp_path):
     docs = documents(spark, [(1, "a b", "en", "x"), (2, "c", "en", "x"), (3, None, None, None), (4, "d-e f", "de", "y")])
     rollup, one = TokenRollup(spark, f"file://{tmp_path}/r"), lambda q, v="blank-1": counted(docs.where(q), v)
