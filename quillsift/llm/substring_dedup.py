@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import U, arrow_rows, cut, fresh, mixed, same, signed, text_bytes, word_hashes
+from quillsift.llm.common import U, arrow_rows, cut, discard, fresh, mixed, same, signed, text_bytes, word_hashes
 
 #: Words of an anchor.
 ANCHOR = 8
@@ -121,6 +121,8 @@ def duplicate_ranges(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     several = several.where("lo <> hi and d0 <> d1").select("anchor", F.lit(True).alias("broken"))
     index = first.join(several, "anchor", "left").where("src < last or broken").drop("last")
     found = cut(table.join(index, ["anchor", "phrase"]).where("id > src or broken").select("id", "h", "a", "n", "src"), "found")
+    discard(table)
+    discard(first)
     whole = found.where("id > src").select("id", "h", "a", "n")
     edges = found.where("id = src").select("id", "h", F.struct("a", "n").alias("r"))
     edges = edges.groupBy("id", "h").agg(F.collect_list("r").alias("ranges"))

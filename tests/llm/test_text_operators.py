@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillsift.llm import ngram_join
+from quillsift.llm import ngram_join, substring_dedup
 from quillsift.llm.common import shingle_set, text_bytes
 from quillsift.llm.components import connected_components
 from quillsift.llm.decontaminate import SuffixAutomaton, contamination_report, decontaminate
@@ -270,3 +272,18 @@ def test_empty_tables(spark):
     none = table(spark, corpus()).limit(0)
     assert jaccard_groups(none).count() == 0 and dedup_substrings(none).count() == 0
     assert dedup_substrings(table(spark, [(1, None), (2, "")])).where(F.col("n_words") > 0).count() == 0
+
+
+def test_substring_tables_go_when_nothing_reads_them(spark, monkeypatch):
+    made, plain = {}, substring_dedup.cut
+
+    def cut(df, label):
+        out = plain(df, label)
+        made[label] = Path(urlparse(out.inputFiles()[0]).path)
+        return out
+
+    monkeypatch.setattr(substring_dedup, "cut", cut)
+    text = " ".join(f"w{k}" for k in range(90))
+    found = substring_dedup.duplicate_ranges(table(spark, [(1, text), (2, "a " + text)]))
+    assert [r["id"] for r in found.collect()] == [2]
+    assert {label for label, path in made.items() if path.exists()} == {"found", "edges"}
