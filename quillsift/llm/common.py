@@ -13,6 +13,7 @@ Conventions of every operator in this subpackage:
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,6 +63,12 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has the driver drop what nothing refers to any more: the shuffle files of finished jobs stay on disk until it collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of a batch that goes to Python: texts are long, and a batch is held several times over on either side.
 BATCH = 500
 

@@ -21,7 +21,8 @@ common token or near copies of each other. All its members are verified against
 then a signature is lengthened by a token: members stay together only if they share one of the
 rarest tokens in which they differ from the hub (see `_spokes`). These smaller groups are handled
 alike, LENGTHS times. Of what is left then, as of all groups of differences, only those pairs are
-made for which the common token can be the first of enough common ones.
+made for which the common token can be the first of enough common ones and which the parities of
+their differences do not tell apart.
 
 The threshold must be above 1/2: linked sizes then span two bucketings at most, and a set of
 one token links with its equals only. Others are refused.
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import U, arrow_rows, cut, discard, fresh, mixed, shingle_set, signed, small_batches, text_bytes
+from quillsift.llm.common import U, arrow_rows, cut, discard, fresh, mixed, shingle_set, signed, small_batches, sweep, text_bytes
 from quillsift.llm.components import connected_components
 
 #: Counters of tokens (one byte each in the table that tasks hold) and the slices in which they are added up.
@@ -52,8 +53,12 @@ LEAST, NOISE = 12, 4
 COUNTED = 250_000
 #: Classes of a group up to which all its pairs are made; where only some pairs count, twice the pairs for every row.
 FEW = 16
+#: The same for the groups of single rare tokens, times FEW: on a large corpus most of them are chance, and their members have nothing in common with a hub.
+CHANCE = 8
 #: How often the groups beyond FEW are parted by another token.
-LENGTHS = 3
+LENGTHS = 1
+#: 64-bit words of the parities of a difference, at most; more of them only part the differences of larger sets more sharply.
+PARITIES = 64
 #: Ids that may be broadcast to pick rows of a larger table (24 bytes each); beyond that both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -232,7 +237,7 @@ def _prefix_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _spokes(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(hub, node, off, n, k, d, linked, short): of the k tokens in which node differs from its hub the rarest, d, as many as are to be compared, and whether they link.
+    """(hub, node, off, n, k, d, linked, short, bits): of the k tokens in which node differs from its hub the first, d, as many as are to be compared, and whether they link; bits are the parities of all k.
 
     Let Dx be the tokens in which x and the hub p differ and r = (den - num) / (den + num): x and y
     link if |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy| <= r (|x| + |y|). Of a link between components at
@@ -241,18 +246,21 @@ def _spokes(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     if y is not linked to p either. Of any two, linked to p or not, |Dx & Dy| <= |Dy| also gives
     |Dx & Dy| >= |Dx| - r (|x| + |y|) >= |Dx| - |x| (den - num) / num, and at least one token,
     which for members far from their hub says more. `short` is the lesser of the two numbers.
-    All D of a hub have one order: tokens that the hub lacks, rarest first, then those that it has.
+    All D of a hub have one order: tokens that the hub lacks, rarest first, then those that it has, most frequent first: what is
+    rare and in the hub is in nearly every D.
     """
     one, hub = sets.select(F.col("f").alias("node"), F.col("s").alias("x")), sets.select(F.col("f").alias("hub"), F.col("s").alias("y"))
     both = rows.join(one, "node").join(hub, "hub")
-    diff = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    diff = F.concat(F.array_except("x", "y"), F.reverse(F.array_except("y", "x")))
     both = both.select("hub", "node", "off", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), diff.alias("d")).withColumn("k", F.size("d").cast("long"))
     linked = F.col("k") * (num + den) <= (F.col("n") + F.col("m")) * (den - num)
     short = F.col("k") - F.floor((F.col("k") * (num + den) + (F.col("m") - F.col("n")) * (den - num)) / (2 * (num + den)))
     full = F.col("k") + 1 - F.greatest(F.lit(1), F.ceil((F.col("k") * num - F.col("n") * (den - num)) / num))
     both = both.withColumns({"linked": linked, "full": full}).withColumn("short", F.least(short, "full"))
+    both = both.withColumn("words", F.least(F.lit(PARITIES), F.ceil(F.col("m") / 32)).cast("int"))
+    bits = F.expr("transform(sequence(0, words - 1), w -> aggregate(filter(d, t -> pmod(shiftright(t, 6), words) = w), 0L, (x, t) -> x ^ shiftleft(1L, cast(t & 63 as int))))")
     kept = F.slice("d", F.lit(1), F.greatest(F.when(F.col("linked"), F.col("short")).otherwise(F.col("full")), F.lit(0)).cast("int"))
-    return both.select("hub", "node", "off", "n", "k", kept.alias("d"), "linked", "short")
+    return both.select("hub", "node", "off", "n", "k", kept.alias("d"), "linked", "short", bits.alias("bits"))
 
 
 def _open(spokes: DataFrame) -> DataFrame:
@@ -262,21 +270,27 @@ def _open(spokes: DataFrame) -> DataFrame:
 
 
 def _longer(spokes: DataFrame) -> DataFrame:
-    """(sig, node, comp, off, n, k, at, role): the groups of the members of a hub that share a token of their prefixes, at place `at` of the k in which the member differs.
+    """(sig, node, comp, off, n, k, bits, at, role): the groups of the members of a hub that share a token of their prefixes, at place `at` of the k in which the member differs.
 
     Role a: not linked to the hub, token among the first `short`; b: linked; c: not linked, another token. Only a with a, and b with a or c, may be new links.
     """
-    rows = spokes.select("hub", "node", "comp", "off", "n", "k", "linked", "short", F.posexplode("d").alias("at", "token"))
+    rows = spokes.select("hub", "node", "comp", "off", "n", "k", "linked", "short", "bits", F.posexplode("d").alias("at", "token"))
     role = F.when(F.col("linked"), "b").when(F.col("at") < F.col("short"), "a").otherwise("c")
-    return rows.select(F.xxhash64("hub", "token").alias("sig"), "node", "comp", "off", "n", "k", "at", role.alias("role"))
+    return rows.select(F.xxhash64("hub", "token").alias("sig"), "node", "comp", "off", "n", "k", "bits", "at", role.alias("role"))
 
 
 def _token_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs for which a common token can be the first of as many as linked sets must have in common of what they differ in from their hub."""
+    """(a, b): pairs for which a common token can be the first of as many as linked sets must have in common of what they differ in from their hub.
+
+    Two sets differ in the tokens in which their differences from the hub do, |x ^ y| = |Dx ^ Dy|, and every such token turns
+    one parity: sets whose parities differ in more places than linked sets in tokens are no link.
+    """
     roles = F.concat("role", "role2").isin("aa", "ab", "ba", "bc", "cb")
     left = F.least(F.col("k") - F.col("at"), F.col("k2") - F.col("at2"))
     enough = (F.col("k") + F.col("k2") - 2 * left) * (num + den) <= (F.col("n") + F.col("n2")) * (den - num)
-    return _pairs(rows, num, den, roles & enough).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    apart = F.expr("aggregate(zip_with(bits, bits2, (x, y) -> bit_count(x ^ y)), 0, (s, c) -> s + c)")
+    near = apart * (num + den) <= (F.col("n") + F.col("n2")) * (den - num)
+    return _pairs(rows, num, den, roles & enough & near).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -319,11 +333,13 @@ def _links(shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: in
     """
     comps, rows = None, shared
     for k in range(LENGTHS + 1):
+        sweep(shared.sparkSession)
         if k:
             rows = cut(_unsettled(rows), "rows")
             if rows.isEmpty():
                 break
-        small, large = rows.where(F.col("c") <= FEW), rows.where(F.col("c") > FEW)
+        few = F.lit(FEW) if k else F.when(F.expr("sig & 1 = 0"), FEW * CHANCE).otherwise(FEW)
+        small, large = rows.where(F.col("c") <= few), rows.where(F.col("c") > few)
         if not k:
             hot = large.where("sig & 1 = 0").groupBy(F.col("node").alias("node0")).agg(F.count("*").alias("hot"))
             small = small.join(hot, F.col("node") == F.col("node0"), "left").drop("node0").withColumn("hot", F.coalesce("hot", F.lit(0)))
@@ -346,7 +362,7 @@ def _links(shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: in
             comps = cut(connected_components(edges), "comps")
         discard(found)
         if k < LENGTHS:
-            rows = _longer(_open(_labelled(spokes, comps))).distinct()
+            rows = _longer(_open(_labelled(spokes, comps)))
     return comps
 
 
@@ -365,6 +381,7 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     classes = usable.groupBy("f", "g").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("beyond").alias("beyond"), F.first("sigs").alias("sigs"))
     classes = cut(classes, "classes")
     discard(signed_docs)
+    sweep(docs.sparkSession)
     index = classes.select(F.explode("sigs").alias("sig"), "id")
     common = index.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
     rare = F.when(F.col("beyond") < 0, F.col("n") + F.col("beyond") + 1).otherwise(F.col("n"))

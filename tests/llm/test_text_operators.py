@@ -118,6 +118,27 @@ def test_far_members_of_a_hub_hand_on_few_tokens(spark):
     assert found[3]["k"] == 6 and found[3]["linked"] and len(found[3]["d"]) == found[3]["short"]
 
 
+def test_far_differences_from_a_hub_make_no_pair(spark):
+    node = lambda f: {"id": f, "f": f}
+    odd, even = {100, *range(1, 80, 2)}, {100, *range(0, 80, 2)}
+    sets = spark.createDataFrame([(node(f), [t for t in range(200) if t not in lost]) for f, lost in [(1, set()), (2, odd), (3, even), (4, odd | {150})]], "f struct<id:long,f:long>, s array<long>")
+    rows = spark.createDataFrame([(node(1), node(f), 0) for f in (2, 3, 4)], "hub struct<id:long,f:long>, node struct<id:long,f:long>, off long")
+    spokes = ngram_join._spokes(rows, sets, 80, 100)
+    assert {r["node"]["id"]: r["d"][:2] for r in spokes.collect()} == {2: [100, 79], 3: [100, 78], 4: [150, 100]}
+    pairs = ngram_join._token_pairs(ngram_join._longer(spokes.withColumn("comp", spokes["node"])), 80, 100)
+    assert [(r["a"]["id"], r["b"]["id"]) for r in pairs.collect()] == [(2, 4)]
+
+
+def test_chance_repeats_have_no_hub(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEAST", 40)
+    spokes, longer = [], ngram_join._longer
+    monkeypatch.setattr(ngram_join, "_longer", lambda s: spokes.append(s.count()) or longer(s))
+    rows = [(i, f"a b c d e u{i} v{i}") for i in range(30)] + [(99, "a b c d e u7 v7 w")]
+    got = jaccard_groups(table(spark, rows).repartition(3), 3, 60, 100).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_groups(rows, 3, 60, 100)
+    assert sum(spokes) == 0
+
+
 def test_one_of_each_group_stays(spark):
     rows = [x for x in corpus() if x[0] != 305]
     docs = table(spark, rows)
