@@ -6,7 +6,8 @@ bigrams (of one word, the word itself) and T the template's; they match if
 2|A n T| / (|A| + |T|) reaches the threshold t. Size bounds prune before any set is compared:
 |A| must lie between t/(2-t) |T| and (2-t)/t |T|; and as |A| is at most the number of words
 and at least the number of distinct words less one, units outside every template's bounds get
-no bigrams at all. There is no shuffle but the final one by document and template.
+no bigrams at all. Before that, texts and units without any of a few words go: a match has one of
+them (`telling`). There is no shuffle but the final one by document and template.
 
 Defined results: null and empty texts, and units without words, match nothing; a unit may match several
 licences, and counts once for each; units of repeated rows count each; rows without id match as
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
@@ -69,6 +71,17 @@ def _bounds(size: int, t: Fraction) -> tuple[int, int]:
     return math.ceil(size * t / (2 - t)), math.floor(size * (2 - t) / t)
 
 
+def telling(known: list[list[str]], t: Fraction) -> str:
+    """A pattern found in every unit that matches one of the bigram sets: words, or bigrams of short ones, without which too few of the set's bigrams are left."""
+    parts: set[str] = set()
+    for bigrams in known:
+        need = math.ceil(t * (_bounds(len(bigrams), t)[0] + len(bigrams)) / 2)
+        while len(left := [b for b in bigrams if not any(p in b for p in parts)]) >= need:
+            words = Counter(w for b in left for w in b.split() if len(w) >= 6)
+            parts.add(max(words, key=lambda w: (words[w], len(w), w)) if words else max(left, key=lambda b: (len(b), b)))
+    return "(?i)" + "|".join(sorted(p.replace(" ", "[^a-z0-9]+") for p in parts))
+
+
 def _lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -81,7 +94,9 @@ def license_matches(docs: DataFrame, threshold: Fraction = THRESHOLD, templates:
     text = F.col(text_col).cast("string")
     paragraphs = F.filter(F.split("t", r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t")).where(F.col("t").isNotNull())
-    rows = rows.select("id", F.explode(F.concat(F.split("t", "\n"), paragraphs)).alias("unit"))
+    pattern = telling([b for _, b in known], threshold)
+    rows = rows.where(F.col("t").rlike(pattern))
+    rows = rows.select("id", F.explode(F.concat(F.split("t", "\n"), paragraphs)).alias("unit")).where(F.col("unit").rlike(pattern))
     words = F.split(F.trim(F.regexp_replace(_lower(F.col("unit")), "[^a-z0-9]+", " ")), " ")
     rows = rows.select("id", words.alias("w")).where((F.size("w") >= low) & (F.size("w") >= 1) & (F.element_at("w", 1) != ""))
     rows = rows.where(F.size(F.array_distinct("w")) - 1 <= high)

@@ -16,7 +16,7 @@ import corpus_pipeline
 from quillsift.llm import langid
 from quillsift.llm.embedding_dedup import dedup_embeddings, embedding_links, quantised, unit
 from quillsift.llm.langid import held_out, identify, keep_identified, learn
-from quillsift.llm.licenses import TEMPLATES, license_matches, template_bigrams
+from quillsift.llm.licenses import TEMPLATES, license_matches, telling, template_bigrams
 from quillsift.llm.mixing import entropy, exponent_for, mix_sources, mixing_schedule, repeats, weights
 from quillsift.llm.token_rollup import TokenRollup, byte_bpe, counted, counted_each, deleted, inserted, of_version, revised
 from quillsift.llm.warc import chunks, page_records, parse, read_payloads, read_warc, write_warc
@@ -388,6 +388,17 @@ def test_licenses(spark):
     assert license_matches(df.limit(0)).count() == 0
 
 
+def test_a_match_holds_a_telling_word():
+    import re
+
+    t, known = Fraction(4, 5), [template_bigrams(x) for texts in TEMPLATES.values() for x in texts]
+    pattern = re.compile(telling(known, t))
+    assert not pattern.search("It is by chance that in the long text of this page nothing is said of them") and pattern.search("CC BY--NC")
+    for bigrams in known:
+        kept = [b for b in bigrams if not pattern.search(b)]
+        assert not kept or Fraction(2 * len(kept), len(kept) + len(bigrams)) < t
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
